@@ -11,6 +11,7 @@ from .mixing import mix
 from .near_dup_minhash import near_duplicates
 from .packing import pack
 from .sharding import shard
+from .warc import captures
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op2_near_dup_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures(table(spark, sf_dir, "pages"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -34,7 +39,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dup_minhash, op5_sharding, op7_mixing, op10_packing)}
+    return {f.__name__: f for f in (op2_near_dup_minhash, op3_warc, op5_sharding, op7_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
