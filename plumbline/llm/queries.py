@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, near_dup_vectors
+from .ann_forest import nearest
 from .mixing import mix
 from .near_dup_minhash import near_duplicates
 from .packing import pack
@@ -26,6 +27,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures(table(spark, sf_dir, "pages"))
 
 
+def op4_near_dup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -34,12 +39,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.filter("vec_id % 20 = 0"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dup_minhash, op3_warc, op5_sharding, op7_mixing, op10_packing)}
+    return {f.__name__: f for f in (op2_near_dup_minhash, op3_warc, op4_near_dup_vectors, op5_sharding, op7_mixing, op8_ann_forest, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
