@@ -12,6 +12,7 @@ from .mixing import mix
 from .near_dup_minhash import near_duplicates
 from .packing import pack
 from .sharding import shard
+from .toxicity import toxicity
 from .warc import captures
 
 
@@ -35,6 +36,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dup_minhash, op3_warc, op4_near_dup_vectors, op5_sharding, op7_mixing, op8_ann_forest, op10_packing)}
+    return {f.__name__: f for f in (op2_near_dup_minhash, op3_warc, op4_near_dup_vectors, op5_sharding, op6_toxicity, op7_mixing, op8_ann_forest, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
