@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +117,35 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return of.unionByName(roots) if spark else of
 
 
+def linked(bucket: DataFrame, confirmed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, component_id) over the links among members of shared buckets (key, id).
+
+    ``confirmed`` takes candidate pairs (p, id) and returns the links (a, b) among them.  Members are compared with the
+    bucket's smallest one, those that stay outside of its component with the smallest of their own, and what is then
+    still apart with the members in other components; members of one component are never compared again.
+    """
+    shared = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("p")).filter("size > 1")
+    bucket = stash(bucket.join(shared, "key"))  # only buckets of two or more matter from here on
+    links = stash(confirmed(bucket.filter("id != p").select("p", "id").distinct()))
+    of = stash(components(links))
+    for last in (False, True):
+        left = bucket.filter("size > 2").join(of, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
+        left = left.join(of.select(F.col("id").alias("p"), F.col("component_id").alias("pc")), "p", "left").withColumn("pc", F.coalesce("pc", "p"))
+        left = stash(left.select("key", "id", "p", "c", "pc"))
+        apart = left.filter("c != pc")
+        if last:
+            other = left.filter("id != p").select("key", F.col("id").alias("x"), F.col("c").alias("xc"))
+            pairs = apart.join(other, "key").filter("c != xc").select(F.least("x", "id").alias("p"), F.greatest("x", "id").alias("id"))
+        else:
+            pivot = apart.groupBy("key").agg(F.min_by(F.struct("id", "c"), "id").alias("x")).select("key", F.col("x.id").alias("p"), F.col("x.c").alias("xc"))
+            pairs = apart.drop("p").join(pivot, "key").filter("c != xc").select("p", "id")
+        pairs = stash(pairs.distinct())
+        if pairs.limit(1).count():
+            links = links.unionByName(stash(confirmed(pairs)))
+            of = stash(components(links))
+    return of
+
+
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)

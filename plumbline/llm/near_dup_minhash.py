@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, mix64, shingle_hashes, small, stash, texts_words, utf8
+from .common import chunks, linked, mix64, shingle_hashes, small, stash, texts_words, utf8
 
 MINIMA, BANDS, ROWS = 128, 24, 5
 _RNG = np.random.default_rng(7)
@@ -131,32 +131,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     member = stash(known.join(first, ["digest", "n"]).select("id", "rep"))
     sig = stash(known.join(member.filter("id = rep").select("id"), "id", "left_semi").select("id", F.struct("p0", "p1", "q0", "q1").alias("s"), "bands"))
     bucket = sig.select("id", F.explode("bands").alias("key")).distinct()
-    shared = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("p")).filter("size > 1")
-    bucket = stash(bucket.join(shared, "key"))  # only buckets of two or more matter from here on
 
     def plausible(pairs: DataFrame) -> DataFrame:
         a = sig.select(F.col("id").alias("p"), F.col("s").alias("sa"))
         b = sig.select("id", F.col("s").alias("sb"))
         return stash(pairs.distinct().join(a, "p").join(b, "id").filter(estimate("sa", "sb") >= percent / 100 - slack).select("p", "id"))
 
-    candidates = plausible(bucket.filter("id != p").select("p", "id"))
-    links = stash(confirm(rows, candidates, percent))
-    of = stash(components(links))
-    for last in (False, True):
-        left = bucket.filter("size > 2").join(of, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
-        left = left.join(of.select(F.col("id").alias("p"), F.col("component_id").alias("pc")), "p", "left").withColumn("pc", F.coalesce("pc", "p"))
-        left = stash(left.select("key", "id", "p", "c", "pc"))
-        apart = left.filter("c != pc")
-        if last:  # whatever is still apart: with the bucket's members in other components
-            other = left.filter("id != p").select("key", F.col("id").alias("x"), F.col("c").alias("xc"))
-            pairs = apart.join(other, "key").filter("c != xc").select(F.least("x", "id").alias("p"), F.greatest("x", "id").alias("id"))
-        else:  # another star, among those that the first one left outside
-            pivot = apart.groupBy("key").agg(F.min_by(F.struct("id", "c"), "id").alias("x")).select("key", F.col("x.id").alias("p"), F.col("x.c").alias("xc"))
-            pairs = apart.drop("p").join(pivot, "key").filter("c != xc").select("p", "id")
-        candidates = plausible(pairs)
-        if candidates.limit(1).count():
-            links = links.unionByName(stash(confirm(rows, candidates, percent)))
-            of = stash(components(links))
+    of = linked(bucket, lambda pairs: confirm(rows, plausible(pairs), percent))
     component = member.join(of.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("id", F.coalesce("component_id", "rep").alias("component_id"))
     out = own.select("id", "n").join(component, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

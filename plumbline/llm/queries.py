@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing, near_dup_vectors
 from .ann_forest import nearest
+from .language_id import identify_documents, identify_pages
+from .line_dedup import line_report
 from .mixing import mix
 from .near_dup_minhash import near_duplicates
 from .packing import pack
@@ -20,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op2_near_dup_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,12 +59,16 @@ def op8_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, rows.filter("vec_id % 20 = 0"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dup_minhash, op3_warc, op4_near_dup_vectors, op5_sharding, op6_toxicity, op7_mixing, op8_ann_forest, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, language_id_pages, op2_near_dup_minhash, op3_warc, op4_near_dup_vectors, op5_sharding, op6_toxicity, op7_mixing, op8_ann_forest, op9_line_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
