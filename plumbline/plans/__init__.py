@@ -1,6 +1,6 @@
 """Registered queries of the library's own operators."""
 
-from . import latency
+from . import latency, series
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "latency"]
+__all__ = ["ORACLES", "QUERIES", "latency", "series"]
