@@ -1,6 +1,6 @@
 """Registered queries of the library's own operators."""
 
-from . import latency, series
+from . import graphs, latency, series, slo
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "latency", "series"]
+__all__ = ["ORACLES", "QUERIES", "graphs", "latency", "series", "slo"]
