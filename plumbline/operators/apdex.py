@@ -46,7 +46,7 @@ def apdex_rollup(scores: DataFrame, by: Sequence[str], endpoint: str, target: fl
 def backfilled(df: DataFrame, by: Sequence[str], value: str, interval: float) -> DataFrame:
     """HDR correction: a sample s above the expected interval adds s - e, s - 2e ... as long as they reach e."""
     steps = F.greatest(F.floor(F.col(value) / interval) - 1, F.lit(0))
-    return df.select(*by, F.col(value).alias("__v"), F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col(value) > interval, steps).otherwise(F.lit(0)).cast("long"))).alias("k")).select(*by, "k", (F.col("__v") - F.col("k") * interval).alias(value))
+    return df.select(*by, F.col(value).alias("__v"), F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col(value) > interval, steps).otherwise(F.lit(0)).cast("long"))).alias("__step")).select(*by, F.col("__step").alias("step"), (F.col("__v") - F.col("__step") * interval).alias(value))
 
 
 def tene_suspicious(df: DataFrame, by: Sequence[str], value: str, duration_ms: float) -> DataFrame:
