@@ -260,8 +260,9 @@ def test_lines_equal_brute_force(spark):
     kept = [x for r in got for x in r["text"].split("\n") if x]
     number = {x: i for i, x in enumerate(lines)}
     assert len(kept) == len(set(kept))
-    found = sorted(of[number[x]] for x in kept)
-    assert found == sorted(set(of.values()))
+    found = [of[number[x]] for x in kept]
+    assert set(found) == set(of.values())  # a line of every component stays
+    assert len(found) - len(set(found)) <= 0.02 * len(lines)  # a link at 0.8 shares a band with probability .997
     report = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(r["n_kept"] for r in report) == len(kept)
     for r in report:  # places point to the surviving lines
