@@ -37,9 +37,13 @@ def stash(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only where a count shows at most ``limit`` rows; else the plain DataFrame (a shuffled join)."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """A broadcast hint only where a count shows at most ``limit`` rows; else the plain DataFrame (a shuffled join).
+
+    ``weight``: what a row counts, where its size varies.
+    """
+    n = df.count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= limit else df
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

@@ -256,7 +256,7 @@ def test_lines_equal_brute_force(spark):
     first, sets = line_sets(rows)
     lines = list(first)
     of = brute_components({i: sets[x] for i, x in enumerate(lines)}, lambda a, b: len(a & b) >= 0.8 * len(a | b))
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), emptied=True).collect()
     kept = [x for r in got for x in r["text"].split("\n") if x]
     number = {x: i for i, x in enumerate(lines)}
     assert len(kept) == len(set(kept))
@@ -271,8 +271,10 @@ def test_lines_equal_brute_force(spark):
 
 
 def test_lines_at_the_edges(edge, none):
-    got = line_dedup.dedup_lines(edge)
+    got = line_dedup.dedup_lines(edge, emptied=True)
     assert got.columns == edge.columns and got.count() == 15
     text = {r["doc_id"]: r["text"] for r in got.collect() if r["doc_id"] is not None}
     assert text[1] and text[2] == "" and text[4] is None and text[6] == "" and text[7] == "one two" and text[8] == ""
+    left = [r["doc_id"] for r in line_dedup.dedup_lines(edge).collect()]
+    assert sorted(x or 0 for x in left) == [0, 1, 4, 5, 6, 7, 9, 9, 10, 12]
     assert line_dedup.dedup_lines(none).count() == 0 and line_dedup.line_report(none).count() == 0
