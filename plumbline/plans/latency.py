@@ -49,12 +49,12 @@ def kll_quantiles(t: Tables) -> DataFrame:
     return D.kll_percentiles(t.events, T, "value", [0.5, 0.95, 0.99])
 
 
-@query("SELECT event_type, count(value) AS n, sum(value) AS sum, avg(value) AS mean, min(value) AS min, max(value) AS max, round(count(value) / 3600.0::DOUBLE, 2) AS throughput FROM events GROUP BY 1", "sum mean min max throughput")
+@query("SELECT event_type, count(value) AS n, sum(value) AS sum, avg(value) AS mean, min(value) AS min, max(value) AS max, round(count(value) / 3600.0::DOUBLE + 1e-9, 2) AS throughput FROM events GROUP BY 1", "sum mean min max throughput")
 def aggregate_window(t: Tables) -> DataFrame:
     return D.aggregate(t.events, T, "value", 3600)
 
 
-@query("SELECT event_type, strftime(to_timestamp(floor(epoch(ts) / 3600) * 3600), '%Y-%m-%d %H:%M:%S') AS window_start, count(value) AS n, sum(value) AS sum, avg(value) AS mean, min(value) AS min, max(value) AS max, round(count(value) / 3600.0::DOUBLE, 2) AS throughput FROM events GROUP BY 1, 2", "sum mean min max throughput")
+@query("SELECT event_type, strftime(to_timestamp(floor(epoch(ts) / 3600) * 3600), '%Y-%m-%d %H:%M:%S') AS window_start, count(value) AS n, sum(value) AS sum, avg(value) AS mean, min(value) AS min, max(value) AS max, round(count(value) / 3600.0::DOUBLE + 1e-9, 2) AS throughput FROM events GROUP BY 1, 2", "sum mean min max throughput")
 def aggregate_tumbling(t: Tables) -> DataFrame:
     out = D.tumbling(t.events, T, "ts", "value", 3600)
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

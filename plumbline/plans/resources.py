@@ -33,7 +33,7 @@ def db_pool_size(t: Tables) -> DataFrame:
     return a.select("event_type", R.pool_size(F.col("n") / 3600.0, F.col("m") / 1000).alias("pool"))
 
 
-@query("SELECT l_returnflag, round(count(*) / 3600.0::DOUBLE, 2) AS qps, sum(l_extendedprice) / 1048576 / 3600 AS mb_s, least(100, count(*) / 20000.0::DOUBLE * 100) AS utilisation, greatest(0, 20000.0::DOUBLE - count(*)) AS headroom FROM lineitem GROUP BY 1", "qps mb_s utilisation headroom")
+@query("SELECT l_returnflag, round(count(*) / 3600.0::DOUBLE + 1e-9, 2) AS qps, sum(l_extendedprice) / 1048576 / 3600 AS mb_s, least(100, count(*) / 20000.0::DOUBLE * 100) AS utilisation, greatest(0, 20000.0::DOUBLE - count(*)) AS headroom FROM lineitem GROUP BY 1", "qps mb_s utilisation headroom")
 def db_throughput(t: Tables) -> DataFrame:
     n, s = F.count(F.lit(1)), F.lit(3600.0)
     g = t.lineitem.groupBy("l_returnflag").agg(R.per_second(n, s).alias("qps"), R.megabytes_per_second(F.sum("l_extendedprice"), s).alias("mb_s"), R.capacity(n, F.lit(20000.0)).alias("c"))
