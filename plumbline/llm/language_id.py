@@ -63,7 +63,7 @@ def _likelihood(table: np.ndarray):
     """(n trigrams, tempered log-likelihoods) of each text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, size=2 << 20):
+        for b in chunks(batches, size=1 << 19):
             texts = utf8(b.column("text"))
             data = b"\n".join(t or b"" for t in texts)
             h, at = trigrams(data)
