@@ -50,7 +50,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def chunks(batches: Iterable[pa.RecordBatch], rows: int = 512, size: int = 4 << 20, by: str = "text") -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterable[pa.RecordBatch], rows: int = 512, size: int = 1 << 20, by: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut batches so that one holds at most ``rows`` rows and, but for single long texts, some ``size`` bytes."""
     for batch in batches:
         lengths = pc.binary_length(batch.column(by)).fill_null(0).to_numpy(zero_copy_only=False)
