@@ -58,6 +58,38 @@ def test_blocks_of_a_component_count_every_link(spark, monkeypatch):
     assert {r["vec_id"]: r["n_links"] for r in got} == {i: int(near[i].sum()) - 1 for i in range(120)}
 
 
+def two_groups(n, dim=16):
+    """Two groups of ``n`` tight vectors (cosine .999), .947 across."""
+    rng = np.random.default_rng(2)
+    a, b = np.linalg.qr(rng.standard_normal((dim, 2)))[0].T
+    centre = np.repeat([a, 0.947 * a + np.sqrt(1 - 0.947**2) * b], n, axis=0)
+    x = (centre + rng.standard_normal((2 * n, dim)) * 0.005).astype(np.float32)
+    return [(i, 0, [float(v) for v in x[i]], "z") for i in range(2 * n)]
+
+
+def check_two_groups(spark, n, **more):
+    data = two_groups(n)
+    u = units(data)
+    near = u @ u.T >= 0.93
+    top = np.argsort(-(u @ u.T), axis=1)[:, 1:9]
+    assert near.all() and not ((top >= n) != (np.arange(2 * n) >= n)[:, None]).any()  # no list of 8 shows the other group
+    got = near_dup_vectors.near_duplicates(spark.createDataFrame(data, SCHEMA), **more).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(2 * n - 1, 0)}
+
+
+def test_links_beyond_saturated_lists(spark):
+    check_two_groups(spark, 12)
+
+
+def test_saturated_groups_larger_than_leaves(spark):
+    check_two_groups(spark, 1500)
+
+
+def test_exact_search_where_the_audit_misses(spark, monkeypatch):
+    monkeypatch.setattr(near_dup_vectors, "_leaf", lambda kind, k, least: lambda g: None)  # a search that finds nothing
+    check_two_groups(spark, 12, rounds=1)
+
+
 def test_vectors_at_the_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_dup_vectors.near_duplicates(empty).count() == 0
