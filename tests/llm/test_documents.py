@@ -270,6 +270,29 @@ def test_lines_equal_brute_force(spark):
         assert [own[i] for i in r["kept_lines"]] == [x for x in next(g for g in got if g["doc_id"] == r["doc_id"])["text"].split("\n") if x]
 
 
+def full_shingles(line):
+    return {line[i : i + 10] for i in range(max(1, len(line) - 9))}
+
+
+def kept_lines(spark, rows):
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), emptied=True).collect()
+    return sorted(x for r in got for x in r["text"].split("\n") if x)
+
+
+def test_lines_with_long_runs_equal_full_shingles(spark):
+    rng = random.Random(14)
+    chinese = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(73))
+    url = "https://example.org/" + "".join(rng.choice("abcdef0123456789") for _ in range(90))
+    plain = "incomprehensibility of counterrevolutionary misunderstandings"
+    other = list(plain)
+    for i in (11, 13, 15, 34, 36, 38, 56, 58, 60):
+        other[i] = "#"
+    lines = [chinese, "\u4e00" + chinese, url, "x" + url + "\U0001f600", plain, "".join(other), "short", "shorty"]
+    of = brute_components({i: full_shingles(x) for i, x in enumerate(lines)}, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    assert of == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 6: 6, 7: 7}
+    assert kept_lines(spark, list(enumerate(lines))) == sorted(lines[i] for i in set(of.values()))
+
+
 def test_lines_at_the_edges(edge, none):
     got = line_dedup.dedup_lines(edge, emptied=True)
     assert got.columns == edge.columns and got.count() == 15
