@@ -293,6 +293,19 @@ def test_lines_with_long_runs_equal_full_shingles(spark):
     assert kept_lines(spark, list(enumerate(lines))) == sorted(lines[i] for i in set(of.values()))
 
 
+def test_every_link_between_short_lines_is_found(spark):
+    rng = random.Random(15)
+    lines = []
+    for i in range(600):  # pairs of Jaccard 4/5, 7/9 (no link) and 12/15, which share nothing with other pairs
+        n = (13, 18, 23)[i % 3]
+        x = "".join(chr(0x4E00 + rng.randrange(8000)) for _ in range(n))
+        lines += [x, x + "q"] if i % 3 == 0 else [x[1:], x[:-1]] if i % 3 == 1 else [x[:-2], x[:-2] + "xyz"]
+    sets = [full_shingles(x) for x in lines]
+    linked = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    want = sorted(x for i, x in enumerate(lines) if i % 2 == 0 or not linked[i // 2])
+    assert sum(linked) >= 400 and kept_lines(spark, list(enumerate(lines))) == want
+
+
 def test_lines_at_the_edges(edge, none):
     got = line_dedup.dedup_lines(edge, emptied=True)
     assert got.columns == edge.columns and got.count() == 15
