@@ -40,3 +40,12 @@ def test_stages_and_run_agree(spark, tmp_path):
     check_packing(out["packing"], [(r["doc_id"], r["text"]) for r in out["mixing"]], Tokenizer.from_file(packing.default_tokenizer()))
     again = pipeline.run(spark, folder).collect()
     assert sum(r["length"] for r in again) == sum(r["length"] for r in out["packing"])
+
+
+def test_near_dedup_takes_pairs_from_80_percent(spark):
+    base = [f"a{i}" for i in range(104)]  # 100 shingles
+    docs = [(1, base), (2, base + [f"b{i}" for i in range(22)]), (3, [f"c{i}" for i in range(104)]), (4, [f"c{i}" for i in range(104)] + [f"d{i}" for i in range(27)])]
+    sets = [shingle_set(" ".join(w)) for _, w in docs]
+    assert 0.8 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85 and len(sets[2] & sets[3]) < 0.8 * len(sets[2] | sets[3])
+    got = pipeline.near_dedup(spark, spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), "").collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 3, 4]
