@@ -5,22 +5,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of ids that may be broadcast (two longs each: some 64 MB at the most).
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a side that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; it goes when the driver ends."""
+    """A fresh folder under ``spark.checkpoint.dir``; it goes when the driver ends.
+
+    Without that setting a local master gets a temporary folder; a cluster has no folder that all executors share, so it raises.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("plumbline.scratch.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("plumbline.scratch.dir", base)
     path = f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
@@ -37,13 +43,31 @@ def stash(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
-    """A broadcast hint only where a count shows at most ``limit`` rows; else the plain DataFrame (a shuffled join).
+def _width(name: str, kind: T.DataType) -> Column:
+    """Bytes that a value takes in a row."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        each = 48 if isinstance(kind.elementType, T.StringType | T.BinaryType | T.StructType) else 8
+        return F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0)) * each + 24
+    return F.lit(8 * max(1, len(kind.fields)) + 16 if isinstance(kind, T.StructType) else 8)
+
 
-    ``weight``: what a row counts, where its size varies.
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint only where the rows are shown to take at most ``limit`` bytes; else the plain DataFrame (a shuffled join).
+
+    The bytes are summed in a job of its own, so ``df`` ought to be a stash or a cheap aggregate.
     """
-    n = df.count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    return F.broadcast(df) if n <= limit else df
+    row = sum((_width(f"`{f.name}`", f.dataType) for f in df.schema), F.lit(16)).cast("long")
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= limit else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
@@ -121,35 +145,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return of.unionByName(roots) if spark else of
 
 
-def linked(bucket: DataFrame, confirmed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, component_id) over the links among members of shared buckets (key, id).
-
-    ``confirmed`` takes candidate pairs (p, id) and returns the links (a, b) among them.  Members are compared with the
-    bucket's smallest one, those that stay outside of its component with the smallest of their own, and what is then
-    still apart with the members in other components; members of one component are never compared again.
-    """
-    shared = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("p")).filter("size > 1")
-    bucket = stash(bucket.join(shared, "key"))  # only buckets of two or more matter from here on
-    links = stash(confirmed(bucket.filter("id != p").select("p", "id").distinct()))
-    of = stash(components(links))
-    for last in (False, True):
-        left = bucket.filter("size > 2").join(of, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
-        left = left.join(of.select(F.col("id").alias("p"), F.col("component_id").alias("pc")), "p", "left").withColumn("pc", F.coalesce("pc", "p"))
-        left = stash(left.select("key", "id", "p", "c", "pc"))
-        apart = left.filter("c != pc")
-        if last:
-            other = left.filter("id != p").select("key", F.col("id").alias("x"), F.col("c").alias("xc"))
-            pairs = apart.join(other, "key").filter("c != xc").select(F.least("x", "id").alias("p"), F.greatest("x", "id").alias("id"))
-        else:
-            pivot = apart.groupBy("key").agg(F.min_by(F.struct("id", "c"), "id").alias("x")).select("key", F.col("x.id").alias("p"), F.col("x.c").alias("xc"))
-            pairs = apart.drop("p").join(pivot, "key").filter("c != xc").select("p", "id")
-        pairs = stash(pairs.distinct())
-        if pairs.limit(1).count():
-            links = links.unionByName(stash(confirmed(pairs)))
-            of = stash(components(links))
-    return of
-
-
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -157,6 +152,7 @@ _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _POWERS: dict[str, np.ndarray] = {}
+BLOCK = 1 << 22
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -175,8 +171,26 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of ``data`` (runs of other bytes than ASCII white space), with their starts and ends."""
+    """64-bit hashes of the words of ``data`` (runs of other bytes than ASCII white space), with their starts and ends.
+
+    Long data go through in blocks that end at white space, so what is held beside the words stays bounded.
+    """
     raw = np.frombuffer(data, np.uint8)
+    if len(raw) > BLOCK:
+        parts, at = [], 0
+        while at < len(raw):
+            end = at + BLOCK
+            while end < len(raw) and not (gap := _SPACE[raw[end : end + 4096]]).any():
+                end += 4096
+            end = len(raw) if end >= len(raw) else end + int(gap.argmax())
+            h, a, b = _hashed_words(raw[at:end])
+            parts.append((h, a + at, b + at))
+            at = end
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    return _hashed_words(raw)
+
+
+def _hashed_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     edge = np.diff(np.concatenate([[True], _SPACE[raw], [True]]).view(np.int8))

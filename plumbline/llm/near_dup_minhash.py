@@ -5,13 +5,14 @@ One pass over the texts keeps, per document, a digest of its full shingle set,
 minima.  Equal sets are linked by digest.  Of the rest, documents that share
 a band key are compared with the bucket's smallest member, never all with all; the similarity estimated from bit counts and corrected for chance
 collisions drops hopeless pairs, and the others are confirmed on full sets.
-Members that the star leaves outside are compared in further rounds, until
-each bucket's members are in one component or known to differ.
+Members that the star leaves outside are compared in further rounds
+(``linking.linked``), until each bucket's members are in one component or known to differ.
 
 Defined results: null or wordless texts have 0 shingles and link with nothing;
-texts of fewer than five words are one shingle; rows that repeat a doc_id count
-as one document, for which its largest set stands (ties: the greatest digest);
-rows without doc_id are left out.  Extra columns are ignored.
+texts of fewer than five words are one shingle; very long texts go through in blocks, whole; rows that repeat a doc_id count
+as one document, for which its largest set stands (ties: the greatest digest, then hash of the text), in links as in n_shingles;
+of equal sets the smallest doc_id is kept; each row without doc_id comes out with a null doc_id and component_id, kept, linked with nothing.
+An empty table gives an empty result.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, linked, mix64, shingle_hashes, small, stash, texts_words, utf8
+from .common import chunks, mix64, shingle_hashes, small, stash, texts_words, utf8
+from .linking import confirm, linked
 
 MINIMA, BANDS, ROWS = 128, 24, 5
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 2**32, (MINIMA, 1), dtype=np.uint32)
 _MUL = _RNG.integers(0, 2**31, (MINIMA, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BAND = _RNG.integers(0, 2**64, BANDS, dtype=np.uint64)
-SIGNATURE = "id long, n long, digest binary, p0 long, p1 long, q0 long, q1 long, bands array<long>"
+SIGNATURE = "id long, h long, n long, digest binary, p0 long, p1 long, q0 long, q1 long, bands array<long>"
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -50,7 +52,7 @@ def _signed(x: np.ndarray) -> list[int]:
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), *((c, pa.int64()) for c in ("p0", "p1", "q0", "q1")), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), *((c, pa.int64()) for c in ("p0", "p1", "q0", "q1")), ("bands", pa.list_(pa.int64()))])
     for batch in chunks(batches):
         n, digest, planes, bands = [], [], [], []
         for words in texts_words(utf8(batch.column("text"))):
@@ -68,7 +70,7 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for j in range(ROWS):
                     h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + low[j * BANDS : (j + 1) * BANDS].astype(np.uint64) + np.uint64(1))
             bands.append(_signed(h))
-        columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *(pa.array([x[i] for x in planes], pa.int64()) for i in range(4)), pa.array(bands, pa.list_(pa.int64()))]
+        columns = [batch.column("id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *(pa.array([x[i] for x in planes], pa.int64()) for i in range(4)), pa.array(bands, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
@@ -81,63 +83,34 @@ def estimate(a: str, b: str) -> Column:
     return ((F.lit(MINIMA) - differ(0) - differ(1)) / F.lit(float(MINIMA)) - 0.25) / 0.75
 
 
-def _confirm(percent: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, pivot = None, None
-        for batch in chunks(batches):
-            p, salt, ids = (batch.column(c).to_pylist() for c in ("p", "salt", "id"))
-            a, b = [], []
-            for i, words in enumerate(texts_words(utf8(batch.column("text")))):
-                s = shingle_hashes(words)
-                if (p[i], salt[i]) != at:
-                    at, pivot = (p[i], salt[i]), None
-                if p[i] == ids[i]:
-                    pivot = s if pivot is None or len(s) > len(pivot) else pivot
-                elif pivot is not None:
-                    both = len(np.intersect1d(s, pivot, assume_unique=True))
-                    if both and 100 * both >= percent * (len(s) + len(pivot) - both):
-                        a.append(p[i]), b.append(ids[i])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def confirm(docs: DataFrame, pairs: DataFrame, percent: int = 85, each: int = 2000) -> DataFrame:
-    """Those of ``pairs`` (p, id) whose full shingle sets meet ``percent``.
-
-    A pivot's text goes once to each salted share of its members, followed by the members (a sort puts it first);
-    no pair of texts is ever materialised.
-    """
-    shares = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / each).alias("shares"))
-    salted = pairs.join(shares, "p").select("p", "id", F.pmod(F.xxhash64("id"), F.col("shares")).alias("salt"))
-    heads = shares.select("p", F.col("p").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("salt"))
-    wanted = stash(salted.unionByName(heads))
-    rows = docs.join(small(wanted), "id").select("p", "salt", "id", "text")
-    return rows.repartition("p", "salt").sortWithinPartitions("p", "salt", (F.col("id") != F.col("p"))).mapInArrow(_confirm(percent), "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 85, slack: float = 0.2, stars: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 85, slack: float = 0.2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document.
 
     ``percent``: least 100 * intersection / union of a link.  ``slack``: by how much the
     estimate may fall short before a pair is dropped unconfirmed (over 5 standard errors).
     """
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("id is not null")
-    signed = stash(rows.mapInArrow(_sign, SIGNATURE))
-    best = F.max_by(F.struct(*[c for c in signed.columns if c != "id"]), F.struct("n", F.hex("digest")))
-    own = signed.groupBy("id").agg(best.alias("x")).select("id", "x.*")
+    told = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    signed = stash(told.mapInArrow(_sign, SIGNATURE))
+    best = F.max_by(F.struct(*[c for c in signed.columns if c != "id"]), F.struct("n", F.hex("digest"), "h"))
+    own = stash(signed.filter("id is not null").groupBy("id").agg(best.alias("x")).select("id", "x.*"))
     known = own.filter("n > 0")
     first = known.groupBy("digest", "n").agg(F.min("id").alias("rep"))
     member = stash(known.join(first, ["digest", "n"]).select("id", "rep"))
-    sig = stash(known.join(member.filter("id = rep").select("id"), "id", "left_semi").select("id", F.struct("p0", "p1", "q0", "q1").alias("s"), "bands"))
-    bucket = sig.select("id", F.explode("bands").alias("key")).distinct()
+    sig = stash(known.join(member.filter("id = rep").select("id"), "id", "left_semi").select("id", "h", F.struct("p0", "p1", "q0", "q1").alias("s"), "bands"))
 
-    def plausible(pairs: DataFrame) -> DataFrame:
+    def links(pairs: DataFrame) -> DataFrame:
         a = sig.select(F.col("id").alias("p"), F.col("s").alias("sa"))
         b = sig.select("id", F.col("s").alias("sb"))
-        return stash(pairs.distinct().join(a, "p").join(b, "id").filter(estimate("sa", "sb") >= percent / 100 - slack).select("p", "id"))
+        likely = pairs.join(a, "p").join(b, "id").filter(estimate("sa", "sb") >= percent / 100 - slack).select("p", "id")
+
+        def texts(wanted: DataFrame) -> DataFrame:  # of the row that stands for an id
+            return told.join(small(stash(wanted.join(sig.select("id", "h"), "id"))), ["id", "h"])
+
+        return confirm(likely, texts, lambda t: map(shingle_hashes, texts_words(t)), percent)
 
-    of = linked(bucket, lambda pairs: confirm(rows, plausible(pairs), percent))
+    of = linked(sig.select("id", "bands"), links)
     component = member.join(of.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("id", F.coalesce("component_id", "rep").alias("component_id"))
     out = own.select("id", "n").join(component, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    out = out.withColumn("kept", F.col("id") == F.col("component_id"))
+    nameless = signed.filter("id is null").select("id", "n", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(nameless).select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", "kept")

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from plumbline.llm import line_dedup, mixing, near_dup_minhash, packing, sharding
+from plumbline.llm import line_dedup, linking, mixing, near_dup_minhash, packing, sharding
 from plumbline.llm.common import components, ranked, shingle_hashes, texts_words
 
 from .conftest import words
@@ -84,7 +84,7 @@ def test_near_duplicates_equal_brute_force(spark):
 
 def test_near_duplicates_at_the_edges(edge, none):
     got = {r["doc_id"]: r for r in near_dup_minhash.near_duplicates(edge).collect()}
-    assert sorted(got) == list(range(1, 13))
+    assert sorted(x or 0 for x in got) == list(range(13))
     assert [got[i]["component_id"] for i in (1, 2, 3, 11)] == [1, 1, 1, 1]
     assert got[8]["component_id"] == 7 and got[8]["n_shingles"] == 1
     assert all(got[i]["n_shingles"] == 0 and got[i]["kept"] for i in (4, 5, 6))
@@ -229,16 +229,17 @@ def test_rebalancing_moves_few_slots():
     assert max(load) < 1.01 * sum(load) / 41
 
 
-def line_sets(rows):
-    import re
+def full_shingles(line):
+    return {line[i : i + 10] for i in range(max(1, len(line) - 9))}
+
 
-    pattern = re.compile(rf"(?s)(?=(.{{1,{line_dedup.WIDTH}}}))\S{{1,{line_dedup.STEP}}}\s*", re.ASCII)
+def line_sets(rows):
     first = {}
     for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
         for x in (t or "").split("\n"):
             if x.strip():
                 first.setdefault(x, d)
-    return first, {x: set(pattern.findall(x)) for x in first}
+    return first, {x: full_shingles(x) for x in first}
 
 
 def test_lines_equal_brute_force(spark):
@@ -260,9 +261,7 @@ def test_lines_equal_brute_force(spark):
     kept = [x for r in got for x in r["text"].split("\n") if x]
     number = {x: i for i, x in enumerate(lines)}
     assert len(kept) == len(set(kept))
-    found = [of[number[x]] for x in kept]
-    assert set(found) == set(of.values())  # a line of every component stays
-    assert len(found) - len(set(found)) <= 0.02 * len(lines)  # a link at 0.8 shares a band with probability .997
+    assert sorted(of[number[x]] for x in kept) == sorted(set(of.values()))  # one line of every component stays
     report = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(r["n_kept"] for r in report) == len(kept)
     for r in report:  # places point to the surviving lines
@@ -270,10 +269,6 @@ def test_lines_equal_brute_force(spark):
         assert [own[i] for i in r["kept_lines"]] == [x for x in next(g for g in got if g["doc_id"] == r["doc_id"])["text"].split("\n") if x]
 
 
-def full_shingles(line):
-    return {line[i : i + 10] for i in range(max(1, len(line) - 9))}
-
-
 def kept_lines(spark, rows):
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), emptied=True).collect()
     return sorted(x for r in got for x in r["text"].split("\n") if x)
@@ -308,9 +303,80 @@ def test_every_link_between_short_lines_is_found(spark):
 
 def test_lines_at_the_edges(edge, none):
     got = line_dedup.dedup_lines(edge, emptied=True)
-    assert got.columns == edge.columns and got.count() == 15
+    assert got.columns == edge.columns and got.count() == 14  # the row that is there twice comes out once
     text = {r["doc_id"]: r["text"] for r in got.collect() if r["doc_id"] is not None}
-    assert text[1] and text[2] == "" and text[4] is None and text[6] == "" and text[7] == "one two" and text[8] == ""
+    assert text[1] and text[2] == "" and text[4] is None and text[5] == "" and text[6] == "  \n\t " and text[7] == "one two" and text[8] == ""
     left = [r["doc_id"] for r in line_dedup.dedup_lines(edge).collect()]
-    assert sorted(x or 0 for x in left) == [0, 1, 4, 5, 6, 7, 9, 9, 10, 12]
+    assert sorted(x or 0 for x in left) == [0, 1, 4, 5, 6, 7, 9, 10, 12]
+    assert line_dedup.line_report(edge).count() == 14
     assert line_dedup.dedup_lines(none).count() == 0 and line_dedup.line_report(none).count() == 0
+
+
+def test_lines_keep_blank_ones_and_clashing_columns(spark):
+    names = ["d", "th", "h1", "kept", "__d", "n", "w", "bands"]
+    first = "\n\npara one is here\n\n\npara two follows it\n"
+    rows = [(1, first), (2, "para two follows it\n\nsomething wholly new\n\npara one is here\n\nsomething wholly new"), (2, "another text of this id"), (3, first)]
+    df = spark.createDataFrame([(*r, *range(8)) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = line_dedup.dedup_lines(df).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, first), (2, "another text of this id"), (2, "something wholly new\n")]
+    assert all([r[n] for n in names] == list(range(8)) for r in got)
+
+
+def test_line_hashes_are_those_of_sql(spark):
+    from pyspark.sql import functions as F
+
+    lines = ["", "a", "é你😀", "x" * 100, "twelve bytes"]
+    got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", F.xxhash64("x").alias("a"), F.xxhash64(F.lit(2), "x").alias("b")).collect()
+    assert all((r["a"], r["b"]) == (line_dedup.line_hash(r["x"].encode()), line_dedup.line_hash(r["x"].encode(), line_dedup._SEED2)) for r in got)
+
+
+def test_windows_of_long_lines_go_through_in_blocks(monkeypatch):
+    rng = random.Random(3)
+    lines = ["".join(chr(rng.choice([97, 98, 233, 0x4E00, 0x1F600])) for _ in range(n)) for n in (5, 9, 10, 11, 400, 0, 60)]
+    data = [x.encode() for x in lines]
+    whole, sets = line_dedup.signatures(data), [s.tolist() for s in line_dedup.shingle_sets(data)]
+    assert [len(s) for s in sets] == [len(full_shingles(x)) for x in lines]
+    monkeypatch.setattr(line_dedup, "CHARS", 7)
+    assert (line_dedup.signatures(data) == whole).all() and [s.tolist() for s in line_dedup.shingle_sets(data)] == sets
+
+
+def test_a_hot_bucket_is_split_and_never_compared_all_with_all(spark):
+    rng = random.Random(16)
+    n, asked = 3000, []
+    rows = [(i, [7, *(rng.randrange(10**9) for _ in range(15))]) for i in range(n)]  # all share one band, and nothing else
+    rows[1200] = (1200, [*rows[700][1][:9], *rows[1200][1][9:]])
+
+    def none_but(pairs):
+        asked.append(pairs.count())
+        return pairs.filter("p = 700 and id = 1200").selectExpr("p as a", "id as b")
+
+    of = {r["id"]: r["component_id"] for r in linking.linked(spark.createDataFrame(rows, "id long, bands array<long>"), none_but).collect()}
+    assert of == {700: 700, 1200: 700} and sum(asked) <= 3 * n
+
+
+def test_a_family_without_links_is_compared_in_blocks(spark):
+    n, asked = 300, []
+    rows = [(i, list(range(16))) for i in range(n)]
+
+    def some(pairs):
+        asked.append(pairs.count())
+        return pairs.filter("p >= 10 and id = p + 150").selectExpr("p as a", "id as b")
+
+    of = {r["id"]: r["component_id"] for r in linking.linked(spark.createDataFrame(rows, "id long, bands array<long>"), some, few=8, splits=1).collect()}
+    assert of == {i: i if i < 150 else i - 150 for i in (*range(10, 150), *range(160, n))}
+
+
+def test_a_repeated_id_links_by_the_text_that_stands(spark):
+    rng = random.Random(18)
+    a, b = words(rng, 200, 10**6), words(rng, 60, 10**6)
+    got = near_dup_minhash.near_duplicates(spark.createDataFrame([(1, " ".join(b)), (2, " ".join(a)), (2, " ".join(b[:-1])), (3, " ".join(b[:-1])), (None, " ".join(b))], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in got) == [(0, 56, 0, True), (1, 56, 1, True), (2, 196, 2, True), (3, 55, 1, False)]
+
+
+def test_words_of_long_texts_go_through_in_blocks(monkeypatch):
+    from plumbline.llm import common
+
+    data = " ".join(words(random.Random(4), 3000)).encode() + b" " + b"x" * 9000 + b"  y"
+    whole = common.word_hashes(data)
+    monkeypatch.setattr(common, "BLOCK", 500)
+    assert all((a == b).all() for a, b in zip(whole, common.word_hashes(data), strict=True))
