@@ -3,59 +3,64 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, components, small, stash, utf8
 
-#: Members that a bucket may have to be compared member by member, and splits of larger ones.
-FEW, SPLITS = 32, 3
+#: Members that a bucket may have to be compared member by member, splits of larger ones, and rounds of stars before.
+FEW, SPLITS, STARS = 32, 3, 3
 
 Sets = Callable[[list[bytes | None]], Iterable[np.ndarray]]
 
 
-def linked(signed: DataFrame, confirmed: Callable[[DataFrame], DataFrame], few: int = FEW, splits: int = SPLITS) -> DataFrame:
+def linked(signed: DataFrame, confirmed: Callable[[DataFrame], DataFrame], few: int = FEW, splits: int = SPLITS, stars: int = STARS) -> DataFrame:
     """(id, component_id) over the links among the rows of ``signed`` (id, bands array<long>) that share a band.
 
-    ``confirmed`` takes candidate pairs (p, id) and returns the links (a, b) among them.  Members are compared with their
-    bucket's smallest one, and those outside of its component with the smallest of them.  What is then still apart is compared
-    member by member in buckets of up to ``few``; a larger bucket is split by each later band of its members,
+    ``confirmed`` takes candidate pairs (p, id), each once, and returns the links (a, b) among them.  Members are compared with their
+    bucket's smallest one; in ``stars`` rounds, those outside of its component with another member.  What is then still apart is
+    compared member by member in buckets of up to ``few``; a larger bucket is split by each later band of its members,
     so that only pairs that share two bands (then three, then four) meet.  Pairs of similarity .8 share four bands of 16
     with probability .99, and each such pair has other buckets, too.  What ``splits`` splits leave together is
     alike in nearly all its bands; blocks of it meet, so no task ever holds it all.  Members of one component are never compared.
     """
     band = signed.select("id", F.posexplode("bands").alias("j", "band")).select("id", "j", F.xxhash64("j", "band").alias("key"))
-    shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("p")).filter("size > 1")
-    bucket = stash(band.join(shared, "key"))  # only buckets of two or more matter from here on
+    shared = stash(band.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("p")).filter("size > 1"))
+    bucket = stash(band.join(small(shared), "key"))  # only buckets of two or more matter from here on
     if not bucket.limit(1).count():
         return bucket.select("id", F.col("id").alias("component_id"))
-    links = stash(confirmed(bucket.filter("id != p").select("p", "id").distinct()))
+    tested = stash(bucket.filter("id != p").select("p", "id").distinct())
+    links = stash(confirmed(tested))
     of = stash(components(links))
 
     def apart(rows: DataFrame) -> DataFrame:
         """Rows of the buckets that hold two components or more, with their component and the bucket's size."""
         placed = rows.join(of, "id", "left").withColumn("c", F.coalesce("component_id", "id")).select("key", "j", "id", "c")
-        mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").drop("high")
-        return stash(placed.join(mixed, "key"))
+        mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+        return stash(placed.join(mixed.select("key", "size"), "key"))
 
     def found(pairs: DataFrame) -> bool:
-        nonlocal links, of
-        pairs = stash(pairs.distinct())
+        nonlocal links, of, tested
+        pairs = pairs.select(F.least("p", "id").alias("p"), F.greatest("p", "id").alias("id")).distinct()
+        pairs = stash(pairs.join(tested, ["p", "id"], "left_anti"))
         if not pairs.limit(1).count():
             return False
+        tested = tested.unionByName(pairs)
         links = links.unionByName(stash(confirmed(pairs)))
         of = stash(components(links))
         return True
 
     left = apart(bucket.filter("size > 2"))
-    if not left.limit(1).count():
-        return of
-    second = left.filter("c != low").groupBy("key").agg(F.min_by(F.struct("id", "c"), "id").alias("x")).select("key", F.col("x.id").alias("p"), F.col("x.c").alias("pc"))
-    if found(left.join(second, "key").filter("c not in (pc, low)").select("p", "id")):
-        left = apart(left.select("key", "j", "id"))
+    for star in range(stars):
+        if not left.limit(1).count():
+            return of
+        other = left.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(star))).alias("x")).select("key", F.col("x.id").alias("p"), F.col("x.c").alias("pc"))
+        if found(left.join(other, "key").filter("c != pc").select("p", "id")):
+            left = apart(left.select("key", "j", "id"))
     for split in range(splits + 1):
         each = left.filter(F.col("size") <= few).select("key", "id", "c")
         other = each.select("key", F.col("id").alias("p"), F.col("c").alias("pc"))
@@ -76,6 +81,17 @@ def linked(signed: DataFrame, confirmed: Callable[[DataFrame], DataFrame], few:
     return of
 
 
+def estimate(a: str, b: str, minima: int, planes: int, words: int) -> Column:
+    """Similarity from the ``planes`` low bits of ``minima``, packed in ``words`` longs a plane, corrected for chance collisions:
+    (share equal - 2^-planes) / (1 - 2^-planes)."""
+    differ = F.lit(0)
+    for w in range(words):
+        bits = [F.col(a)[i * words + w].bitwiseXOR(F.col(b)[i * words + w]) for i in range(planes)]
+        differ = differ + F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), bits))
+    chance = 2.0**-planes
+    return ((F.lit(minima) - differ) / F.lit(float(minima)) - chance) / (1 - chance)
+
+
 def _meet(sets: Sets, percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, pivot = None, None

@@ -22,11 +22,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, mix64, shingle_hashes, small, stash, texts_words, utf8
-from .linking import confirm, linked
+from .linking import confirm, estimate, linked
 
 MINIMA, BANDS, ROWS = 128, 24, 5
 _RNG = np.random.default_rng(7)
@@ -74,15 +74,6 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def estimate(a: str, b: str) -> Column:
-    """Similarity from the bits in which packed signatures differ: (share equal - 1/4) / (1 - 1/4)."""
-    def differ(i: int) -> Column:
-        p = F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))
-        return F.bit_count(p.bitwiseOR(F.col(f"{a}.q{i}").bitwiseXOR(F.col(f"{b}.q{i}"))))
-
-    return ((F.lit(MINIMA) - differ(0) - differ(1)) / F.lit(float(MINIMA)) - 0.25) / 0.75
-
-
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 85, slack: float = 0.2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document.
 
@@ -96,12 +87,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     known = own.filter("n > 0")
     first = known.groupBy("digest", "n").agg(F.min("id").alias("rep"))
     member = stash(known.join(first, ["digest", "n"]).select("id", "rep"))
-    sig = stash(known.join(member.filter("id = rep").select("id"), "id", "left_semi").select("id", "h", F.struct("p0", "p1", "q0", "q1").alias("s"), "bands"))
+    sig = stash(known.join(member.filter("id = rep").select("id"), "id", "left_semi").select("id", "h", F.array("p0", "p1", "q0", "q1").alias("s"), "bands"))
 
     def links(pairs: DataFrame) -> DataFrame:
         a = sig.select(F.col("id").alias("p"), F.col("s").alias("sa"))
         b = sig.select("id", F.col("s").alias("sb"))
-        likely = pairs.join(a, "p").join(b, "id").filter(estimate("sa", "sb") >= percent / 100 - slack).select("p", "id")
+        likely = pairs.join(a, "p").join(b, "id").filter(estimate("sa", "sb", MINIMA, 2, 2) >= percent / 100 - slack).select("p", "id")
 
         def texts(wanted: DataFrame) -> DataFrame:  # of the row that stands for an id
             return told.join(small(stash(wanted.join(sig.select("id", "h"), "id"))), ["id", "h"])

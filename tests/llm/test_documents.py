@@ -98,8 +98,8 @@ def test_estimate_corrects_for_chance(spark):
     a = words(rng, 600, 10**6)
     b = [x if rng.random() < 0.98 else "z" + x for x in a]
     df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(words(rng, 600, 10**6)))], "id long, text string")
-    s = df.mapInArrow(near_dup_minhash._sign, near_dup_minhash.SIGNATURE).select("id", F.struct("p0", "p1", "q0", "q1").alias("s"))
-    pair = s.select(F.col("id").alias("i"), F.col("s").alias("x")).crossJoin(s.select(F.col("id").alias("j"), F.col("s").alias("y"))).select("i", "j", near_dup_minhash.estimate("x", "y").alias("e"))
+    s = df.withColumn("h", F.xxhash64("text")).mapInArrow(near_dup_minhash._sign, near_dup_minhash.SIGNATURE).select("id", F.array("p0", "p1", "q0", "q1").alias("s"))
+    pair = s.select(F.col("id").alias("i"), F.col("s").alias("x")).crossJoin(s.select(F.col("id").alias("j"), F.col("s").alias("y"))).select("i", "j", linking.estimate("x", "y", near_dup_minhash.MINIMA, 2, 2).alias("e"))
     e = {(r["i"], r["j"]): r["e"] for r in pair.collect()}
     sets = [shingle_set(" ".join(x)) for x in (a, b)]
     assert e[1, 1] == 1 and abs(e[1, 3]) < 0.2 and abs(e[1, 2] - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 0.15
@@ -351,7 +351,7 @@ def test_a_hot_bucket_is_split_and_never_compared_all_with_all(spark):
         return pairs.filter("p = 700 and id = 1200").selectExpr("p as a", "id as b")
 
     of = {r["id"]: r["component_id"] for r in linking.linked(spark.createDataFrame(rows, "id long, bands array<long>"), none_but).collect()}
-    assert of == {700: 700, 1200: 700} and sum(asked) <= 3 * n
+    assert of == {700: 700, 1200: 700} and sum(asked) <= 5 * n
 
 
 def test_a_family_without_links_is_compared_in_blocks(spark):
