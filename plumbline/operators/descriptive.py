@@ -85,6 +85,20 @@ def kll_percentiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[f
     return s.select(*by, *[F.kll_sketch_get_quantile_double("s", F.lit(float(q))).alias(_name(100 * q)) for q in qs])
 
 
+def kll_states(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """The stored form of a sketch: ``by``, state (binary); null values are left out."""
+    return df.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double")).alias("state"))
+
+
+def kll_merged(states: DataFrame, by: Sequence[str]) -> DataFrame:
+    """States of coarser groups from stored ones; merging is associative, so states may be merged in any order."""
+    return states.groupBy(*by).agg(F.kll_merge_agg_double("state").alias("state"))
+
+
+def kll_read(states: DataFrame, by: Sequence[str], points: Sequence[float]) -> DataFrame:
+    return states.select(*by, *[F.kll_sketch_get_quantile_double("state", F.lit(float(q))).alias(f"p{round(q * 100)}") for q in points])
+
+
 def throughput(n: Column, seconds: Column) -> Column:
     return F.when(seconds <= 0, 0.0).otherwise(n / seconds)
 

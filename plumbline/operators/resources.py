@@ -39,6 +39,11 @@ def pool_size(arrivals_per_s: Column, service_s: Column, least: int = 5, cores:
     return F.greatest(F.ceil(arrivals_per_s * service_s / 0.7), F.lit(max(least, cores)).cast("long"))
 
 
+def optimal_pool(concurrent: Column, query_ms: Column) -> Column:
+    """Connections in use by Little's law and half as many again, at least the concurrent requests and 5."""
+    return F.greatest(F.floor(concurrent * query_ms / 1000 * 1.5), concurrent.cast("long"), F.lit(5).cast("long"))
+
+
 def per_second(n: Column, seconds: Column) -> Column:
     return F.when(seconds > 0, F.round(n / seconds, 2)).otherwise(0.0)
 
@@ -84,12 +89,25 @@ def evictions(df: DataFrame, by: Sequence[str], reason: Column, age: Column, ttl
     return g.withColumn("status", F.when(F.col("premature_pct") > 30, "critical").when(F.col("premature_pct") > 20, "high").when(F.col("premature_pct") > 10, "moderate").otherwise("normal"))
 
 
-def warmup(buckets: DataFrame, by: Sequence[str], order: str, drop: float = 15.0) -> DataFrame:
-    """Hit rate by bucket against the running best; collapsed, warming (rising over three buckets) or stable."""
+def warmup(buckets: DataFrame, by: Sequence[str], order: str, drop: float = 15.0, grace: int = 3, flat: float = 0.5, collapse: float = 5.0, least: int = 3) -> DataFrame:
+    """State of each hit-rate trajectory, with baseline (running best before the drop), drop and recovery slope.
+
+    Buckets without traffic don't count.  Fewer than ``least``: insufficient_data; a rate below ``collapse`` at any time: collapsed; no rate more than
+    ``drop`` points under the running best: stable; else the mean change over ``grace`` buckets after the lowest
+    such rate says whether it's warming (above ``flat``) or flatlined.
+    """
     w = W.partitionBy(*by).orderBy(order)
-    b = buckets.withColumn("rate", F.col("hits") / (F.col("hits") + F.col("misses")) * 100)
-    b = b.withColumn("best", F.max("rate").over(w)).withColumn("slope", (F.col("rate") - F.lag("rate", 2).over(w)) / 2)
-    return b.withColumn("state", F.when((F.col("best") - F.col("rate") > drop) & (F.coalesce("slope", F.lit(0.0)) > 0.5), "warming").when(F.col("best") - F.col("rate") > drop, "collapsed").otherwise("stable"))
+    b = buckets.filter(F.col("hits") + F.col("misses") > 0).withColumn("rate", F.col("hits") / (F.col("hits") + F.col("misses")) * 100)
+    b = b.withColumn("at", F.row_number().over(w)).withColumn("best", F.max("rate").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    b = b.withColumn("gap", F.when(F.col("best") - F.col("rate") > drop, F.struct((-F.col("rate")).alias("low"), (-F.col("at")).alias("first"), "at", "best", "rate")))
+    later = [F.lead("rate", k).over(w) for k in range(1, grace + 1)]
+    reach = sum((F.when(x.isNotNull(), 1).otherwise(0) for x in later), F.lit(0))
+    b = b.withColumn("slope", F.when(reach > 0, (F.coalesce(*reversed(later)) - F.col("rate")) / reach).otherwise(0.0))
+    g = b.groupBy(*by).agg(F.count(F.lit(1)).alias("buckets"), F.min("rate").alias("least"), F.min_by("rate", "at").alias("start"), F.max("best").alias("top"), F.max(F.struct("gap", "slope")).alias("x"))
+    fell = F.col("x.gap").isNotNull()
+    state = F.when(F.col("buckets") < least, "insufficient_data").when(F.col("least") < collapse, "collapsed").when(~fell, "stable").when(F.col("x.slope") > flat, "warming").otherwise("flatlined")
+    told = state.isin("warming", "flatlined")
+    return g.select(*by, "buckets", state.alias("state"), F.when(told, F.col("x.gap.best") - F.col("x.gap.rate")).alias("drop_pct"), F.when(told, F.col("x.slope")).alias("recovery_slope"))
 
 
 # network

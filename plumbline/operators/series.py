@@ -168,13 +168,18 @@ def baseline(df: DataFrame, by: Sequence[str], value: str, multiplier: float = 1
 
 
 def anomalies(df: DataFrame, base: DataFrame, by: Sequence[str], key: str, value: str, method: str = "combined", z: float = 3.0, least: int = 10) -> DataFrame:
-    """Points beyond ``z`` deviations and / or the fences of their baseline (join on ``by``); none where it has fewer than ``least`` points."""
+    """Points beyond ``z`` deviations and / or the fences of their baseline (join on ``by``; "iqr": severity and confidence by the distance from the fence in IQRs); none where it has fewer than ``least`` points."""
     p = df.select(*by, key, F.col(value).cast("double").alias("v")).join(base.filter(F.col("n") >= least), list(by))
     score = F.when(F.col("std") > 0, F.abs(F.col("v") - F.col("mean")) / F.col("std")).otherwise(0.0)
     out = (F.col("v") < F.col("lower_fence")) | (F.col("v") > F.col("upper_fence"))
     chosen = {"zscore": score >= z, "iqr": out, "combined": (score >= z) | out}[method]
     kind = F.when(F.col("v") > F.col("mean"), "spike").otherwise("drop")
-    return p.withColumn("z", score).filter(chosen).select(*by, key, "v", "z", kind.alias("kind"), z_severity(F.col("z")).alias("severity"), z_confidence(F.col("z")).alias("confidence"))
+    severity, confidence = z_severity(F.col("z")), z_confidence(F.col("z"))
+    if method == "iqr":
+        beyond = F.greatest(F.col("v") - F.col("upper_fence"), F.col("lower_fence") - F.col("v"))
+        far = F.when(F.col("iqr") > 0, beyond / F.col("iqr")).otherwise(0.0)
+        kind, severity, confidence = F.when(F.col("v") > F.col("upper_fence"), "spike").otherwise("drop"), iqr_severity(far), F.least(F.lit(0.99), 0.5 + far * 0.1)
+    return p.withColumn("z", score).filter(chosen).select(*by, key, "v", "z", kind.alias("kind"), severity.alias("severity"), confidence.alias("confidence"))
 
 
 def split_window_mad(df: DataFrame, by: Sequence[str], order: str, value: str, k: float = 3.0, segment: int = 5) -> DataFrame:

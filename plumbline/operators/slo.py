@@ -41,7 +41,7 @@ def by_period(sli: DataFrame, hours: int) -> DataFrame:
 
 
 def error_budget(sli: DataFrame, by: Sequence[str], target: float, start: Column, end: Column) -> DataFrame:
-    """SLI, allowed failures, remaining and consumed % of the window (start, end], and a status; no events: unknown."""
+    """SLI, allowed failures, remaining and consumed % of the window [start, end], and a status; no events: unknown."""
     w = (F.col("ts") >= start) & (F.col("ts") <= end)
     g = sli.groupBy(*by).agg(*[F.sum(F.when(w, F.col(c)).otherwise(0)).alias(c) for c in ("good", "total", "rejected")])
     g = g.withColumn("bad", F.greatest(F.lit(0), F.col("total") - F.col("good") - F.col("rejected")))
@@ -55,10 +55,18 @@ def severity(burn: Column, critical: float = 14.4, warning: float = 6.0, elevate
     return F.when(burn >= critical, "critical").when(burn >= warning, "warning").when(burn >= elevated, "elevated").otherwise("normal")
 
 
+def _spent() -> Column:
+    return F.col("total") - F.col("good") - F.coalesce("rejected", F.lit(0))
+
+
+def _bad(spent: Column) -> Column:
+    return F.greatest(F.sum(spent), F.lit(0).cast("long"))
+
+
 def burn_rate(sli: DataFrame, by: Sequence[str], target: float, now: Column, hours: float) -> DataFrame:
-    """Failure rate of the last ``hours`` over the budgeted share."""
-    w = (_us("ts") > _us(now) - int(hours * 3.6e9)) & (_us("ts") <= _us(now))
-    g = sli.groupBy(*by).agg(F.sum(F.when(w, F.col("total")).otherwise(0)).alias("total"), F.sum(F.when(w, F.col("total") - F.col("good")).otherwise(0)).alias("bad"))
+    """Failure rate of the last ``hours``, both ends inclusive, over the budgeted share; rejections don't burn budget."""
+    w = (_us("ts") >= _us(now) - int(hours * 3.6e9)) & (_us("ts") <= _us(now))
+    g = sli.groupBy(*by).agg(F.sum(F.when(w, F.col("total")).otherwise(0)).alias("total"), _bad(F.when(w, _spent()).otherwise(0)).alias("bad"))
     rate = F.when(F.col("total") > 0, F.col("bad") / F.col("total")).otherwise(0.0) / ((100 - target) / 100)
     return g.withColumn("burn_rate", rate).withColumn("severity", severity(F.col("burn_rate")))
 
@@ -72,8 +80,8 @@ def alert_policy(sli: DataFrame, by: Sequence[str], target: float, now: Column,
     aggs = []
     for i, (_, long, short, _) in enumerate(tiers):
         for s, h in (("l", long), ("s", short)):
-            w = (us > end - int(h * 3.6e9)) & (us <= end)
-            aggs += [F.sum(F.when(w, F.col("total")).otherwise(0)).alias(f"t{s}{i}"), F.sum(F.when(w, F.col("total") - F.col("good")).otherwise(0)).alias(f"b{s}{i}")]
+            w = (us >= end - int(h * 3.6e9)) & (us <= end)
+            aggs += [F.sum(F.when(w, F.col("total")).otherwise(0)).alias(f"t{s}{i}"), _bad(F.when(w, _spent()).otherwise(0)).alias(f"b{s}{i}")]
     g = sli.groupBy(*by).agg(*aggs)
     rate = lambda s, i: F.when(F.col(f"t{s}{i}") > 0, F.col(f"b{s}{i}") / F.col(f"t{s}{i}")).otherwise(0.0) / ((100 - target) / 100)
     rows = [F.struct(F.lit(i).alias("tier"), F.lit(a).alias("action"), rate("l", i).alias("long_burn"), rate("s", i).alias("short_burn"), (F.col(f"tl{i}") >= minimum_traffic(target)).alias("enough"), F.lit(t).alias("threshold")) for i, (a, _, _, t) in enumerate(tiers)]
@@ -86,22 +94,36 @@ def minimum_traffic(target: float) -> int:
 
 
 def burn_history(sli: DataFrame, by: Sequence[str], target: float, start: Column, steps: int, step_hours: int, window_hours: int) -> DataFrame:
-    """Burn rate at each step over overlapping windows: a row goes to the few steps whose window holds it (no cross join)."""
+    """Burn rate at each step over overlapping windows, both ends inclusive: a row goes to the few steps whose window holds it (no cross join)."""
     step, window = step_hours * 3600 * 10**6, window_hours * 3600 * 10**6
     at = _us("ts") - _us(start)
-    first, last = F.greatest(F.ceil(at / step), F.lit(0)), F.least(F.floor((at + window - 1) / step), F.lit(steps - 1))
+    first, last = F.greatest(F.ceil(at / step), F.lit(0)), F.least(F.floor((at + window) / step), F.lit(steps - 1))
     rows = sli.withColumn("step", F.explode(F.when(first <= last, F.sequence(first.cast("long"), last.cast("long"))).otherwise(F.array().cast("array<bigint>"))))
-    g = rows.groupBy(*by, "step").agg(F.sum("total").alias("total"), F.sum(F.col("total") - F.col("good")).alias("bad"))
+    g = rows.groupBy(*by, "step").agg(F.sum("total").alias("total"), _bad(_spent()).alias("bad"))
     return g.withColumn("burn_rate", F.when(F.col("total") > 0, F.col("bad") / F.col("total")).otherwise(0.0) / ((100 - target) / 100)).withColumn("severity", severity(F.col("burn_rate")))
 
 
-def incidents(burns: DataFrame, by: Sequence[str], order: str, least_steps: int = 1) -> DataFrame:
-    """Runs of critical or warning steps (gaps and islands); a run still open at the end isn't reported."""
+def incidents(burns: DataFrame, by: Sequence[str], order: str, step_hours: float = 1.0, least_hours: float = 0.5) -> DataFrame:
+    """Runs of critical or warning steps (gaps and islands), from the first of them to the first good step after.
+
+    Runs shorter than ``least_hours`` and one still open at the end aren't reported.
+    """
     w = W.partitionBy(*by).orderBy(order)
-    p = burns.withColumn("bad_", F.col("severity").isin("critical", "warning")).withColumn("new_", (F.col("bad_") & ~F.coalesce(F.lag("bad_").over(w), F.lit(False))).cast("int"))
-    p = p.withColumn("run", F.sum("new_").over(w)).withColumn("end_", F.max(order).over(W.partitionBy(*by)))
-    g = p.filter("bad_").groupBy(*by, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("steps"), F.max("burn_rate").alias("peak"), F.max(F.when(F.col("severity") == "critical", 1).otherwise(0)).alias("c"), F.max("end_").alias("end_"))
-    return g.filter((F.col("steps") >= least_steps) & (F.col("last") < F.col("end_"))).select(*by, "first", "last", "steps", "peak", F.when(F.col("c") == 1, "critical").otherwise("warning").alias("severity"))
+    p = burns.withColumn("bad_", F.col("severity").isin("critical", "warning")).withColumn("next_", F.lead(order).over(w))
+    p = p.withColumn("new_", (F.col("bad_") & ~F.coalesce(F.lag("bad_").over(w), F.lit(False))).cast("int")).withColumn("run", F.sum("new_").over(w))
+    critical = F.max(F.when(F.col("severity") == "critical", 1).otherwise(0))
+    g = p.filter("bad_").groupBy(*by, "run").agg(F.min(order).alias("first"), F.max_by("next_", order).alias("ended"), F.count(F.lit(1)).alias("steps"), F.max("burn_rate").alias("peak"), critical.alias("c"))
+    long_enough = (F.col("ended") - F.col("first")) * step_hours >= least_hours
+    return g.filter(long_enough).select(*by, "first", "ended", "steps", "peak", F.when(F.col("c") == 1, "critical").otherwise("warning").alias("severity"))
+
+
+def daily_budgets(sli: DataFrame, by: Sequence[str], target: float, now: Column, days: int = 30) -> DataFrame:
+    """Error budget of each of the last ``days`` days counted back from ``now``, both ends of a day inclusive; days without rows are left out."""
+    day = 86_400_000_000
+    back = _us(now) - _us("ts")
+    first, last = F.greatest(F.ceil(back / day) - 1, F.lit(0)), F.least(F.floor(back / day), F.lit(days - 1))
+    held = sli.filter(back >= 0).withColumn("day", F.explode(F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))))
+    return error_budget(held, [*by, "day"], target, F.lit(0).cast("timestamp"), now)
 
 
 def hours_to_exhaustion(burn: Column, window_hours: float) -> Column:

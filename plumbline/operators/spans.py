@@ -31,7 +31,7 @@ def traces(spans: DataFrame) -> DataFrame:
     return t.withColumn("duration_ms", F.coalesce("root_ms", "longest")).drop("root_ms", "longest")
 
 
-def depths(spans: DataFrame, most: int = 64) -> DataFrame:
+def depths(spans: DataFrame, most: int = 4096) -> DataFrame:
     """trace_id, span_id, depth (1 for roots): level by level; a cycle's spans never appear."""
     from .graph import _cut
 
@@ -89,7 +89,7 @@ def orphans_adopted(spans: DataFrame) -> DataFrame:
     return j.withColumn("parent_span_id", F.when(F.col("orphan"), F.coalesce("adopter", F.when(F.col("root") != F.col("span_id"), F.col("root")))).otherwise(F.col("parent_span_id"))).drop("adopter", "root")
 
 
-def critical_path(spans: DataFrame, most: int = 64) -> DataFrame:
+def critical_path(spans: DataFrame, most: int = 4096) -> DataFrame:
     """From each root down to the longest child, level by level: trace_id, depth, span_id, service, duration_ms."""
     from .graph import _cut
 

@@ -1,6 +1,6 @@
 """Registered queries of the library's own operators."""
 
-from . import content, graphs, latency, resources, scores, series, slo, spans
+from . import content, graphs, latency, resources, scores, series, slo, spans, verdicts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "content", "graphs", "latency", "resources", "scores", "series", "slo", "spans"]
+__all__ = ["ORACLES", "QUERIES", "content", "graphs", "latency", "resources", "scores", "series", "slo", "spans", "verdicts"]

@@ -51,13 +51,13 @@ def log_classification(t: Tables) -> DataFrame:
     return S.log_events(e.select("event_id", line.alias("l")), "l").drop("l")
 
 
-_NAMES = "(SELECT DISTINCT substr(p_name, 1, 6) || p_size AS name FROM part WHERE p_partkey % 4 = {k})"
+_NAMES = "(SELECT DISTINCT p_name || p_size AS name FROM part WHERE (p_size > 25) = {k})"
 
 
-@query(f"SELECT name, x.popular, x.distance FROM (SELECT n.name, min({{'distance': levenshtein(n.name, p.name), 'popular': p.name}}) AS x FROM {_NAMES.format(k=0)} n, {_NAMES.format(k=1)} p WHERE n.name NOT IN (SELECT name FROM {_NAMES.format(k=1)}) AND levenshtein(n.name, p.name) BETWEEN 1 AND 2 AND abs(length(n.name) - length(p.name)) <= 2 GROUP BY 1)")
+@query(f"SELECT name, x.popular, x.distance FROM (SELECT n.name, min({{'distance': levenshtein(n.name, p.name), 'popular': p.name}}) AS x FROM {_NAMES.format(k="false")} n, {_NAMES.format(k="true")} p WHERE n.name NOT IN (SELECT name FROM {_NAMES.format(k="true")}) AND levenshtein(n.name, p.name) BETWEEN 1 AND 2 AND abs(length(n.name) - length(p.name)) <= 2 GROUP BY 1)")
 def typosquats(t: Tables) -> DataFrame:
-    names = lambda k: t.part.filter(F.col("p_partkey") % 4 == k).select(F.concat(F.substring("p_name", 1, 6), F.col("p_size").cast("string")).alias("name")).distinct()
-    return S.typosquats(names(0), names(1))
+    names = lambda k: t.part.filter((F.col("p_size") > 25) == k).select(F.concat("p_name", F.col("p_size").cast("string")).alias("name")).distinct()
+    return S.typosquats(names(False), names(True))
 
 
 _LIC = "CASE WHEN length(s) <= 100 THEN CASE " + " ".join(f"WHEN regexp_matches(s, '{rx}') THEN '{n}'" for n, rx in S.LICENCES) + " END END"
@@ -139,20 +139,20 @@ def page_budget(t: Tables) -> DataFrame:
 
 # findings
 
-FIND = "(SELECT l_orderkey * 10 + l_linenumber AS finding_id, l_returnflag || l_linestatus AS rule_id, 'f' || (l_partkey % 97) || '.py' AS file_path, (l_quantity * 7)::BIGINT AS line, CASE l_returnflag WHEN 'R' THEN 'critical' WHEN 'A' THEN 'medium' ELSE 'low' END AS severity, l_linestatus AS category, l_discount * 10 AS confidence, l_orderkey FROM lineitem WHERE l_orderkey % 40 = 1)"
+FIND = "(SELECT l_orderkey * 10 + l_linenumber AS finding_id, l_returnflag || l_linestatus AS rule_id, 'f' || l_partkey || '.py' AS file_path, (l_quantity * 7)::BIGINT AS line, CASE l_returnflag WHEN 'R' THEN 'critical' WHEN 'A' THEN 'medium' ELSE 'low' END AS severity, l_linestatus AS category, l_discount * 10 AS confidence, l_orderkey, l_linenumber FROM lineitem)"
 
 
 def findings(t: Tables) -> DataFrame:
-    l = t.lineitem.filter("l_orderkey % 40 = 1")
-    return l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("finding_id"), F.concat("l_returnflag", "l_linestatus").alias("rule_id"), F.concat(F.lit("f"), (F.col("l_partkey") % 97).cast("string"), F.lit(".py")).alias("file_path"), (F.col("l_quantity") * 7).cast("long").alias("line"), F.when(F.col("l_returnflag") == "R", "critical").when(F.col("l_returnflag") == "A", "medium").otherwise("low").alias("severity"), F.col("l_linestatus").alias("category"), (F.col("l_discount") * 10).alias("confidence"), "l_orderkey")
+    l = t.lineitem
+    return l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("finding_id"), F.concat("l_returnflag", "l_linestatus").alias("rule_id"), F.concat(F.lit("f"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("file_path"), (F.col("l_quantity") * 7).cast("long").alias("line"), F.when(F.col("l_returnflag") == "R", "critical").when(F.col("l_returnflag") == "A", "medium").otherwise("low").alias("severity"), F.col("l_linestatus").alias("category"), (F.col("l_discount") * 10).alias("confidence"), "l_orderkey", "l_linenumber")
 
 
-_ISS = f"(SELECT finding_id AS issue_id, rule_id, file_path, line, severity, CASE WHEN finding_id % 3 = 0 THEN 'resolved' WHEN finding_id % 3 = 1 THEN 'open' ELSE 'confirmed' END AS status, l_orderkey AS last_seen, l_orderkey AS first_detected FROM {FIND} WHERE l_orderkey % 80 = 1)"
+_ISS = f"(SELECT finding_id AS issue_id, rule_id, file_path, line, severity, CASE WHEN finding_id % 3 = 0 THEN 'resolved' WHEN finding_id % 3 = 1 THEN 'open' ELSE 'confirmed' END AS status, l_orderkey AS last_seen, l_orderkey AS first_detected FROM {FIND})"
 
 
 def issues(t: Tables) -> DataFrame:
     k = F.col("finding_id") % 3
-    return findings(t).filter("l_orderkey % 80 = 1").select(F.col("finding_id").alias("issue_id"), "rule_id", "file_path", "line", "severity", F.when(k == 0, "resolved").when(k == 1, "open").otherwise("confirmed").alias("status"), F.col("l_orderkey").alias("last_seen"), F.col("l_orderkey").alias("first_detected"))
+    return findings(t).select(F.col("finding_id").alias("issue_id"), "rule_id", "file_path", "line", "severity", F.when(k == 0, "resolved").when(k == 1, "open").otherwise("confirmed").alias("status"), F.col("l_orderkey").alias("last_seen"), F.col("l_orderkey").alias("first_detected"))
 
 
 @query("WITH m AS (SELECT event_type, ts::DATE AS d, avg(value) AS value FROM events GROUP BY ALL), p AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY d) AS prev, row_number() OVER (PARTITION BY event_type ORDER BY d DESC) AS r FROM m), c AS (SELECT event_type, value AS current, prev AS previous, value - prev AS change, (value - prev) / abs(prev) * 100 AS change_pct FROM p WHERE r = 1) SELECT *, CASE WHEN abs(change_pct) < 5 THEN 'stable' WHEN (change_pct < 0) = (event_type = 'error') THEN 'improving' ELSE 'degrading' END AS direction FROM c", "current previous change change_pct")
@@ -187,9 +187,9 @@ def issue_summary(t: Tables) -> DataFrame:
     return X.issue_summary(issues(t))
 
 
-@query(f"SELECT finding_id FROM {FIND} f WHERE NOT EXISTS (SELECT 1 FROM {_ISS} i WHERE i.rule_id = f.rule_id AND i.file_path = f.file_path AND (i.last_seen > 5000 OR i.last_seen % 160 = 1))")
+@query(f"SELECT finding_id FROM {FIND} f WHERE NOT EXISTS (SELECT 1 FROM {_ISS} i WHERE i.rule_id = f.rule_id AND i.file_path = f.file_path AND (i.last_seen > 5000 OR i.last_seen % 4 = 1))")
 def baseline_suppression(t: Tables) -> DataFrame:
-    b = issues(t).select("rule_id", "file_path", F.when(F.col("last_seen") % 160 != 1, F.col("last_seen")).alias("expires"))
+    b = issues(t).select("rule_id", "file_path", F.when(F.col("last_seen") % 4 != 1, F.col("last_seen")).alias("expires"))
     return X.unsuppressed(findings(t), b, ["rule_id", "file_path"], F.lit(5000)).select("finding_id")
 
 
@@ -200,22 +200,22 @@ def prints(d: DataFrame) -> DataFrame:
     return d.withColumn("fingerprint", X.fingerprint(F.col("rule_id"), F.col("file_path"), F.floor(F.col("line") / 50)))
 
 
-@query(f"SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN {_FP} IN (SELECT {_FP} FROM {FIND} WHERE l_orderkey % 80 = 1) THEN 'pre_existing' WHEN severity = 'critical' THEN 'new_blocking' ELSE 'new_advisory' END AS verdict FROM {FIND}) GROUP BY 1")
+@query(f"SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN {_FP} IN (SELECT {_FP} FROM {FIND} WHERE l_linenumber <= 3) THEN 'pre_existing' WHEN severity = 'critical' THEN 'new_blocking' ELSE 'new_advisory' END AS verdict FROM {FIND}) GROUP BY 1")
 def gate_differential(t: Tables) -> DataFrame:
     f = prints(findings(t))
-    return X.differential(f, f.filter("l_orderkey % 80 = 1"), F.col("severity") == "critical").groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    return X.differential(f, f.filter("l_linenumber <= 3"), F.col("severity") == "critical").groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT {_FP} AS fingerprint FROM {FIND} WHERE l_orderkey % 80 = 1 INTERSECT SELECT {_FP} FROM {FIND} WHERE l_orderkey % 80 = 41")
+@query(f"SELECT {_FP} AS fingerprint FROM {FIND} WHERE l_linenumber <= 3 INTERSECT SELECT {_FP} FROM {FIND} WHERE l_linenumber > 3")
 def gate_ratchet(t: Tables) -> DataFrame:
     f = prints(findings(t))
-    return X.ratchet(f.filter("l_orderkey % 80 = 1"), f.filter("l_orderkey % 80 = 41"))
+    return X.ratchet(f.filter("l_linenumber <= 3"), f.filter("l_linenumber > 3"))
 
 
-@query(f"WITH a AS (SELECT DISTINCT rule_id, {_FP} AS p FROM {FIND} WHERE l_orderkey % 80 = 1), b AS (SELECT DISTINCT rule_id, {_FP} AS p FROM {FIND} WHERE l_orderkey % 80 = 41) SELECT rule_id, count(*) AS differing FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)) GROUP BY 1")
+@query(f"WITH a AS (SELECT DISTINCT rule_id, {_FP} AS p FROM {FIND} WHERE l_linenumber <= 3), b AS (SELECT DISTINCT rule_id, {_FP} AS p FROM {FIND} WHERE l_linenumber > 3) SELECT rule_id, count(*) AS differing FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)) GROUP BY 1")
 def gate_determinism(t: Tables) -> DataFrame:
     f = prints(findings(t))
-    return X.undetermined_rules(f.filter("l_orderkey % 80 = 1"), f.filter("l_orderkey % 80 = 41"))
+    return X.undetermined_rules(f.filter("l_linenumber <= 3"), f.filter("l_linenumber > 3"))
 
 
 _COND = (("click", "<", 60.0, True), ("view", ">=", 10.0, False), ("error", "<=", 1.0, True), ("absent", ">", 0.0, True))
@@ -274,7 +274,7 @@ def finding_dedup(t: Tables) -> DataFrame:
     return X.best_findings(findings(t), ["rule_id", "file_path"]).select("finding_id", "confidence")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity * (1 + least(l_partkey % 80, 50) / 10.0::DOUBLE) * (1 + l_tax) AS priority FROM lineitem WHERE l_orderkey % 40 = 1", "priority")
+@query("SELECT l_orderkey, l_linenumber, l_quantity * (1 + least(l_partkey % 80, 50) / 10.0::DOUBLE) * (1 + l_tax) AS priority FROM lineitem", "priority")
 def hotspot_priority(t: Tables) -> DataFrame:
-    f = t.lineitem.filter("l_orderkey % 40 = 1").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("weight"), (F.col("l_partkey") % 80).alias("churn"), F.col("l_tax").alias("reach"))
+    f = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("weight"), (F.col("l_partkey") % 80).alias("churn"), F.col("l_tax").alias("reach"))
     return X.hotspots(f).select("l_orderkey", "l_linenumber", "priority")

@@ -1,4 +1,4 @@
-"""Graph queries: part types as nodes, an edge where a part of one type follows one of the other within an order."""
+"""Graph queries over all lines sold: net trade between nations, and nations, their suppliers and the customers of these."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -6,22 +6,39 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from .registry import Tables, query
 
-E = "(SELECT n1.n_name AS src, n2.n_name AS dst, count(*)::DOUBLE AS weight FROM (SELECT DISTINCT l_orderkey, s_nationkey AS a FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1) x JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON n1.n_nationkey = a JOIN nation n2 ON n2.n_nationkey = c_nationkey WHERE (a * 7 + c_nationkey * 3) % 19 = 1 AND a <> c_nationkey GROUP BY ALL)"
+_SOLD = "SELECT s_suppkey, s_nationkey AS a, c_custkey, c_nationkey AS b FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey"
+#: Net trade between nations: an edge where more lines go one way than the other.
+E = f"(WITH f AS (SELECT a, b, count(*) AS n FROM ({_SOLD}) WHERE a <> b GROUP BY ALL) SELECT n1.n_name AS src, n2.n_name AS dst, f.n::DOUBLE AS weight FROM f LEFT JOIN f g ON g.a = f.b AND g.b = f.a JOIN nation n1 ON n1.n_nationkey = f.a JOIN nation n2 ON n2.n_nationkey = f.b WHERE f.n > coalesce(g.n, 0))"
+#: Nations to their suppliers to their customers: grows with the tables.
+D = f"(SELECT 's' || s_suppkey AS src, 'c' || c_custkey AS dst, count(*)::DOUBLE AS weight FROM ({_SOLD}) GROUP BY ALL UNION ALL SELECT n_name, 's' || s_suppkey, 1.0 FROM supplier JOIN nation ON n_nationkey = s_nationkey)"
 
 
-def edges(t: Tables) -> DataFrame:
+def _sold(t: Tables) -> DataFrame:
     s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("a"))
-    x = t.lineitem.filter("l_linenumber = 1").join(s, "l_suppkey").select("l_orderkey", "a").distinct()
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
-    c = x.join(o, "l_orderkey").join(t.customer.select("c_custkey", F.col("c_nationkey").alias("b")), "c_custkey").filter("(a * 7 + b * 3) % 19 = 1 and a != b")
-    w = c.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    l = t.lineitem.select("l_orderkey", "l_suppkey").join(s, "l_suppkey").join(o, "l_orderkey")
+    return l.join(t.customer.select("c_custkey", F.col("c_nationkey").alias("b")), "c_custkey")
+
+
+def edges(t: Tables) -> DataFrame:
+    f = _sold(t).filter("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    back = f.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n").alias("m"))
+    w = f.join(back, ["a", "b"], "left").filter(F.col("n") > F.coalesce("m", F.lit(0)))
     n = t.nation
-    return w.join(n.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("src")), "a").join(n.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("dst")), "b").select("src", "dst", "weight")
+    w = w.join(n.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("src")), "a").join(n.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("dst")), "b")
+    return w.select("src", "dst", F.col("n").cast("double").alias("weight"))
+
+
+def deep(t: Tables) -> DataFrame:
+    name = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
+    sold = _sold(t).groupBy(name("s", "l_suppkey").alias("src"), name("c", "c_custkey").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    home = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("n_name").alias("src"), name("s", "s_suppkey").alias("dst"), F.lit(1.0).alias("weight"))
+    return sold.unionByName(home)
 
 
-@query(f"WITH e AS {E}, b AS (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) SELECT node, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out, sum(o) / (sum(i) + sum(o)) AS instability FROM b GROUP BY 1", "instability")
+@query(f"WITH e AS {D}, b AS (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) SELECT node, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out, sum(o) / (sum(i) + sum(o)) AS instability FROM b GROUP BY 1", "instability")
 def graph_degrees(t: Tables) -> DataFrame:
-    return G.degrees(edges(t))
+    return G.degrees(deep(t))
 
 
 _BFS = "WITH RECURSIVE e AS {e}, s AS (SELECT min({a}) AS node FROM e), r AS (SELECT node, 0 AS depth FROM s UNION SELECT e.{b}, r.depth + 1 FROM r JOIN e ON e.{a} = r.node WHERE r.depth < 25) SELECT node, min(depth)::INT AS depth FROM r GROUP BY 1"
@@ -31,21 +48,21 @@ def _seed(e: DataFrame, column: str) -> DataFrame:
     return e.agg(F.min(column).alias("node"))
 
 
-@query(_BFS.format(e=E, a="src", b="dst"))
+@query(_BFS.format(e=D, a="src", b="dst"))
 def graph_upstream(t: Tables) -> DataFrame:
-    e = edges(t)
+    e = deep(t)
     return G.reach(e, _seed(e, "src"))
 
 
-@query(_BFS.format(e=E, a="dst", b="src"))
+@query(_BFS.format(e=D, a="dst", b="src"))
 def graph_downstream(t: Tables) -> DataFrame:
-    e = edges(t)
+    e = deep(t)
     return G.reach(e, _seed(e, "dst"), reverse=True)
 
 
 @query(None, "rank")
 def graph_pagerank(t: Tables) -> DataFrame:
-    return G.pagerank(edges(t))
+    return G.pagerank(deep(t))
 
 
 _CL = "WITH RECURSIVE e AS {e}, c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON e.src = c.dst) "
@@ -61,14 +78,14 @@ def graph_strong_components(t: Tables) -> DataFrame:
     return G.strong_components(edges(t))
 
 
-@query(f"WITH e AS {E}, u AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM e), j AS (SELECT length(u) % 3 AS pu, length(v) % 3 AS pv, (SELECT count(*) FROM u) AS m FROM u), d AS (SELECT pu AS p, CASE WHEN pu = pv THEN 1.0 ELSE 0.0 END AS i, m FROM j UNION ALL SELECT pv, 0.0, m FROM j) SELECT sum(q) AS modularity FROM (SELECT sum(i) / max(m) - pow(count(*) / (2.0 * max(m)), 2) AS q FROM d GROUP BY p)", "modularity")
+@query(f"WITH e AS {D}, u AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM e), j AS (SELECT length(u) % 3 AS pu, length(v) % 3 AS pv, (SELECT count(*) FROM u) AS m FROM u), d AS (SELECT pu AS p, CASE WHEN pu = pv THEN 1.0 ELSE 0.0 END AS i, m FROM j UNION ALL SELECT pv, 0.0, m FROM j) SELECT sum(q) AS modularity FROM (SELECT sum(i) / max(m) - pow(count(*) / (2.0 * max(m)), 2) AS q FROM d GROUP BY p)", "modularity")
 def graph_modularity(t: Tables) -> DataFrame:
-    e = edges(t)
+    e = deep(t)
     nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
     return G.modularity(e, nodes.withColumn("part", F.length("node") % 3))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM " + E + " WHERE src < dst), d AS (SELECT node, 0 AS level FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) UNION SELECT e.dst, d.level + 1 FROM d JOIN e ON e.src = d.node) SELECT node, max(level)::INT AS level FROM d GROUP BY 1")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM " + D + "), d AS (SELECT node, 0 AS level FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) UNION SELECT e.dst, d.level + 1 FROM d JOIN e ON e.src = d.node) SELECT node, max(level)::INT AS level FROM d GROUP BY 1")
 def graph_topological_levels(t: Tables) -> DataFrame:
-    e = edges(t).filter("src < dst")
+    e = deep(t)
     return G.topological_levels(e, e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))))

@@ -65,12 +65,30 @@ def cache_evictions(t: Tables) -> DataFrame:
     return R.evictions(t.events, T, F.when(k == 0, "expired").when(k == 1, "lru").otherwise("size"), F.col("value"), F.lit(100.0), 86400.0)
 
 
-@query("WITH b AS (SELECT event_type, day(ts) AS d, count(*) FILTER (WHERE user_id % 10 < 6) AS hits, count(*) FILTER (WHERE user_id % 10 >= 6) AS misses FROM events GROUP BY ALL), r AS (SELECT *, hits::DOUBLE / (hits + misses) * 100 AS rate FROM b), s AS (SELECT *, max(rate) OVER w AS best, (rate - lag(rate, 2) OVER w) / 2 AS slope FROM r WINDOW w AS (PARTITION BY event_type ORDER BY d)) SELECT *, CASE WHEN best - rate > 15 AND coalesce(slope, 0) > 0.5 THEN 'warming' WHEN best - rate > 15 THEN 'collapsed' ELSE 'stable' END AS state FROM s", "rate best slope")
+@query(
+    "WITH b AS (SELECT event_type || '/' || (user_id % 7) AS event_type, day(ts) AS d, count(*) FILTER (WHERE value < 55) AS hits, count(*) FILTER (WHERE NOT value < 55) AS misses FROM events GROUP BY ALL), "
+    "r AS (SELECT *, hits::DOUBLE / (hits + misses) * 100 AS rate, row_number() OVER w AS i FROM b WINDOW w AS (PARTITION BY event_type ORDER BY d)), "
+    "s AS (SELECT *, max(rate) OVER (PARTITION BY event_type ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM r), "
+    "f AS (SELECT event_type, rate AS low, best, i FROM s WHERE best - rate > 15 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY rate, i) = 1), "
+    "p AS (SELECT f.event_type, (SELECT coalesce(max_by(r.rate, r.i) - f.low, 0) / greatest(count(*), 1) FROM r WHERE r.event_type = f.event_type AND r.i > f.i AND r.i <= f.i + 3) AS slope FROM f), "
+    "g AS (SELECT event_type, count(*) AS buckets, min(rate) AS least FROM r GROUP BY 1), "
+    "z AS (SELECT g.*, f.best - f.low AS drop_pct, p.slope AS recovery_slope, CASE WHEN buckets < 3 THEN 'insufficient_data' WHEN least < 5 THEN 'collapsed' WHEN f.low IS NULL THEN 'stable' WHEN p.slope > 0.5 THEN 'warming' ELSE 'flatlined' END AS state FROM g LEFT JOIN f USING (event_type) LEFT JOIN p USING (event_type)) "
+    "SELECT event_type, buckets, state, CASE WHEN state IN ('warming', 'flatlined') THEN drop_pct END AS drop_pct, CASE WHEN state IN ('warming', 'flatlined') THEN recovery_slope END AS recovery_slope FROM z",
+    "drop_pct recovery_slope",
+)
 def cache_warmup(t: Tables) -> DataFrame:
-    b = t.events.groupBy("event_type", F.dayofmonth("ts").cast("long").alias("d")).agg(F.count_if(F.col("user_id") % 10 < 6).alias("hits"), F.count_if(F.col("user_id") % 10 >= 6).alias("misses"))
+    who = F.concat("event_type", F.lit("/"), (F.col("user_id") % 7).cast("string")).alias("event_type")
+    b = t.events.groupBy(who, F.dayofmonth("ts").alias("d")).agg(F.count_if(F.col("value") < 55).alias("hits"), F.count_if(~(F.col("value") < 55)).alias("misses"))
     return R.warmup(b, T, "d")
 
 
+@query("SELECT event_type, greatest(floor(n * m / 1000 * 1.5)::BIGINT, n, 5) AS pool FROM (SELECT event_type, count(*) // 100 AS n, avg(value) AS m FROM events GROUP BY 1)")
+def db_optimal_pool(t: Tables) -> DataFrame:
+    a = t.events.groupBy(*T).agg(F.floor(F.count(F.lit(1)) / 100).alias("n"), F.avg("value").alias("m"))
+    return a.select("event_type", R.optimal_pool(F.col("n"), F.col("m")).alias("pool"))
+
+
+
 @query("SELECT *, CASE WHEN mean > 100 OR loss_pct > 5 THEN 'poor' WHEN mean > 50 THEN 'fair' ELSE 'good' END AS status FROM (SELECT event_type, avg(value) AS mean, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, avg(d) AS jitter, avg(CASE WHEN event_id % 40 = 0 THEN 1.0 ELSE 0.0 END) * 100 AS loss_pct FROM (SELECT *, abs(value - lag(value) OVER (PARTITION BY event_type ORDER BY event_id)) AS d FROM events) GROUP BY 1)", "mean p50 p95 p99 jitter loss_pct")
 def network_latency(t: Tables) -> DataFrame:
     return R.network_latency(t.events, T, "event_id", "value", F.col("event_id") % 40 == 0)

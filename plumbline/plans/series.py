@@ -99,7 +99,15 @@ def anomaly_zscore(t: Tables) -> DataFrame:
     return S.anomalies(t.events, S.baseline(t.events, T, "value"), T, "event_id", "value", "zscore")
 
 
-@query(_anomaly_sql("v < lower_fence OR v > upper_fence"), "v z confidence")
+_FAR = "greatest(v - upper_fence, lower_fence - v) / iqr"
+
+
+@query(
+    f"WITH b AS ({_BASE.format(w='')}), p AS (SELECT e.event_type, event_id, value AS v, abs(value - mean) / std AS z, lower_fence, upper_fence, iqr FROM events e JOIN b USING (event_type)) "
+    f"SELECT event_type, event_id, v, z, CASE WHEN v > upper_fence THEN 'spike' ELSE 'drop' END AS kind, CASE WHEN {_FAR} >= 3 THEN 'critical' WHEN {_FAR} >= 2 THEN 'high' WHEN {_FAR} >= 1.5 THEN 'medium' "
+    f"WHEN {_FAR} >= 1 THEN 'low' ELSE 'info' END AS severity, least(0.99, 0.5 + {_FAR} * 0.1) AS confidence FROM p WHERE v < lower_fence OR v > upper_fence",
+    "v z confidence",
+)
 def anomaly_iqr(t: Tables) -> DataFrame:
     return S.anomalies(t.events, S.baseline(t.events, T, "value"), T, "event_id", "value", "iqr")
 

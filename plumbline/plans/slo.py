@@ -65,17 +65,17 @@ def error_budget_multi_window(t: Tables) -> DataFrame:
     return out
 
 
-_BURN = "SELECT service, total, bad, CASE WHEN total > 0 THEN bad::DOUBLE / total ELSE 0 END / 0.1::DOUBLE AS burn_rate, CASE WHEN total > 0 AND bad::DOUBLE / total / 0.1 >= 14.4 THEN 'critical' WHEN total > 0 AND bad::DOUBLE / total / 0.1 >= 6 THEN 'warning' WHEN total > 0 AND bad::DOUBLE / total / 0.1 >= 1 THEN 'elevated' ELSE 'normal' END AS severity FROM (SELECT service, sum(CASE WHEN {w} THEN total ELSE 0 END)::BIGINT AS total, sum(CASE WHEN {w} THEN total - good ELSE 0 END)::BIGINT AS bad FROM {s} GROUP BY 1)"
+_BURN = "SELECT service, total, bad, CASE WHEN total > 0 THEN bad::DOUBLE / total ELSE 0 END / 0.1::DOUBLE AS burn_rate, CASE WHEN total > 0 AND bad::DOUBLE / total / 0.1 >= 14.4 THEN 'critical' WHEN total > 0 AND bad::DOUBLE / total / 0.1 >= 6 THEN 'warning' WHEN total > 0 AND bad::DOUBLE / total / 0.1 >= 1 THEN 'elevated' ELSE 'normal' END AS severity FROM (SELECT service, sum(CASE WHEN {w} THEN total ELSE 0 END)::BIGINT AS total, greatest(0, sum(CASE WHEN {w} THEN total - good - rejected ELSE 0 END))::BIGINT AS bad FROM {s} GROUP BY 1)"
 
 
-@query(_BURN.format(s=SLI, w=f"ts > TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '{NOW}'"), "burn_rate")
+@query(_BURN.format(s=SLI, w=f"ts >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '{NOW}'"), "burn_rate")
 def burn_rate(t: Tables) -> DataFrame:
     return S.burn_rate(sli(t), BY, 90.0, _at(NOW), 24)
 
 
 def _tier(i: int, long: float, short: float, a: str, th: float) -> str:
-    f = lambda h: f"ts > TIMESTAMP '{NOW}' - INTERVAL {round(h * 60)} MINUTE AND ts <= TIMESTAMP '{NOW}'"
-    r = lambda h: f"coalesce((sum(total - good) FILTER (WHERE {f(h)})) / nullif(sum(total) FILTER (WHERE {f(h)}), 0), 0) / 0.1::DOUBLE"
+    f = lambda h: f"ts >= TIMESTAMP '{NOW}' - INTERVAL {round(h * 60)} MINUTE AND ts <= TIMESTAMP '{NOW}'"
+    r = lambda h: f"coalesce(greatest(0, sum(total - good - rejected) FILTER (WHERE {f(h)})) / nullif(sum(total) FILTER (WHERE {f(h)}), 0), 0) / 0.1::DOUBLE"
     return f"SELECT *, long_burn >= threshold AND short_burn >= threshold AND enough AS fires FROM (SELECT service, {i} AS tier, '{a}' AS action, {r(long)} AS long_burn, {r(short)} AS short_burn, coalesce(sum(total) FILTER (WHERE {f(long)}), 0) >= 100 AS enough, {th}::DOUBLE AS threshold FROM {SLI} GROUP BY 1)"
 
 
@@ -84,7 +84,7 @@ def alert_policy(t: Tables) -> DataFrame:
     return S.alert_policy(sli(t), BY, 90.0, _at(NOW))
 
 
-_HIST = f"SELECT service, step, sum(total)::BIGINT AS total, sum(total - good)::BIGINT AS bad, (sum(total - good) / sum(total))::DOUBLE / 0.1::DOUBLE AS burn_rate FROM {SLI} s, range(0, 120) r(step) WHERE ts <= TIMESTAMP '{START}' + to_hours((step * 6)::INT) AND ts > TIMESTAMP '{START}' + to_hours((step * 6 - 12)::INT) GROUP BY 1, 2"
+_HIST = f"SELECT service, step, sum(total)::BIGINT AS total, greatest(0, sum(total - good - rejected))::BIGINT AS bad, (greatest(0, sum(total - good - rejected)) / sum(total))::DOUBLE / 0.1::DOUBLE AS burn_rate FROM {SLI} s, range(0, 120) r(step) WHERE ts <= TIMESTAMP '{START}' + to_hours((step * 6)::INT) AND ts >= TIMESTAMP '{START}' + to_hours((step * 6 - 12)::INT) GROUP BY 1, 2"
 _SEV = "CASE WHEN burn_rate >= {a} THEN 'critical' WHEN burn_rate >= {b} THEN 'warning' WHEN burn_rate >= 1 THEN 'elevated' ELSE 'normal' END AS severity"
 
 
@@ -93,10 +93,18 @@ def burn_history(t: Tables) -> DataFrame:
     return S.burn_history(sli(t), BY, 90.0, _at(START), 120, 6, 12)
 
 
-@query(f"WITH h AS (SELECT *, {_SEV.format(a=1.8, b=1.5)} FROM ({_HIST})), p AS (SELECT *, severity IN ('critical', 'warning') AS bad_, max(step) OVER (PARTITION BY service) AS e FROM h), q AS (SELECT *, CASE WHEN bad_ AND NOT coalesce(lag(bad_) OVER (PARTITION BY service ORDER BY step), false) THEN 1 ELSE 0 END AS n FROM p), r AS (SELECT *, sum(n) OVER (PARTITION BY service ORDER BY step) AS run FROM q) SELECT service, min(step) AS first, max(step) AS last, count(*) AS steps, max(burn_rate) AS peak, CASE WHEN bool_or(severity = 'critical') THEN 'critical' ELSE 'warning' END AS severity FROM r WHERE bad_ GROUP BY service, run HAVING max(step) < max(e)", "peak")
+@query(f"WITH h AS (SELECT *, {_SEV.format(a=1.8, b=1.5)} FROM ({_HIST})), p AS (SELECT *, severity IN ('critical', 'warning') AS bad_, lead(step) OVER (PARTITION BY service ORDER BY step) AS e FROM h), q AS (SELECT *, CASE WHEN bad_ AND NOT coalesce(lag(bad_) OVER (PARTITION BY service ORDER BY step), false) THEN 1 ELSE 0 END AS n FROM p), r AS (SELECT *, sum(n) OVER (PARTITION BY service ORDER BY step) AS run FROM q) SELECT service, min(step) AS first, max_by(coalesce(e, -1), step) AS ended, count(*) AS steps, max(burn_rate) AS peak, CASE WHEN bool_or(severity = 'critical') THEN 'critical' ELSE 'warning' END AS severity FROM r WHERE bad_ GROUP BY service, run HAVING max_by(coalesce(e, -1), step) > min(step)", "peak")
 def burn_incidents(t: Tables) -> DataFrame:
     h = S.burn_history(sli(t), BY, 90.0, _at(START), 120, 6, 12).withColumn("severity", S.severity(F.col("burn_rate"), 1.8, 1.5))
-    return S.incidents(h, BY, "step")
+    return S.incidents(h, BY, "step", step_hours=6)
+
+
+_DAYS = f"(SELECT s.*, d AS day FROM {SLI} s, range(0, 10) r(d) WHERE ts >= TIMESTAMP '{NOW}' - to_days((d + 1)::INT) AND ts <= TIMESTAMP '{NOW}' - to_days(d::INT))"
+
+
+@query(_EB.format(x=", day", s=_DAYS, w="true").replace("day, sum", "day::INT AS day, sum"), "allowed remaining consumed_pct sli")
+def error_budget_daily(t: Tables) -> DataFrame:
+    return S.daily_budgets(sli(t), BY, 90.0, _at(NOW), 10)
 
 
 @query(f"SELECT service, CASE WHEN burn_rate > 1 THEN 720 / burn_rate END AS hours_left FROM ({_BURN.format(s=SLI, w='true')})", "hours_left")

@@ -67,11 +67,11 @@ def service_map_pruned(t: Tables) -> DataFrame:
     return S.service_map(spans(t)).filter((F.col("share") >= 0.05) | (F.col("errors") > 50))
 
 
-@query(f"SELECT src, dst FROM ({_MAP.format(x=X, w='AND s.span_id % 2 = 0 AND s.span_id < 400')}) EXCEPT SELECT src, dst FROM ({_MAP.format(x=X, w='AND s.span_id < 60')})")
+@query(f"SELECT src, dst FROM ({_MAP.format(x=X, w='AND s.duration_ms > 20')}) EXCEPT SELECT src, dst FROM ({_MAP.format(x=X, w='AND s.duration_ms > 90')})")
 def service_map_ghost_edges(t: Tables) -> DataFrame:
     s = spans(t)
     both = s.join(s.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("service").alias("src")), S.PARENT).filter("src != service").withColumnRenamed("service", "dst")
-    return S.ghost_edges(both.filter("span_id < 60").select("src", "dst").distinct(), both.filter("span_id % 2 = 0 and span_id < 400").select("src", "dst").distinct())
+    return S.ghost_edges(both.filter("duration_ms > 90").select("src", "dst").distinct(), both.filter("duration_ms > 20").select("src", "dst").distinct())
 
 
 @query("SELECT p_name, lower(regexp_replace(regexp_replace(trim(p_type || 'SizeOf ' || p_name), '([a-z0-9])([A-Z])', '\\1-\\2', 'g'), '[\\s_.]+', '-', 'g')) AS canonical FROM part")
