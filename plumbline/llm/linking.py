@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import chunks, components, small, stash, utf8
 
 #: Members that a bucket may have to be compared member by member, splits of larger ones, and rounds of stars before.
-FEW, SPLITS, STARS = 32, 3, 3
+FEW, SPLITS, STARS = 32, 2, 1
 
 Sets = Callable[[list[bytes | None]], Iterable[np.ndarray]]
 
@@ -24,8 +24,8 @@ def linked(signed: DataFrame, confirmed: Callable[[DataFrame], DataFrame], few:
     ``confirmed`` takes candidate pairs (p, id), each once, and returns the links (a, b) among them.  Members are compared with their
     bucket's smallest one; in ``stars`` rounds, those outside of its component with another member.  What is then still apart is
     compared member by member in buckets of up to ``few``; a larger bucket is split by each later band of its members,
-    so that only pairs that share two bands (then three, then four) meet.  Pairs of similarity .8 share four bands of 16
-    with probability .99, and each such pair has other buckets, too.  What ``splits`` splits leave together is
+    so that only pairs that share two bands, then three, meet.  Pairs of similarity .8 share three bands of 16
+    with probability .998, and each such pair has other buckets, too.  What ``splits`` splits leave together is
     alike in nearly all its bands; blocks of it meet, so no task ever holds it all.  Members of one component are never compared.
     """
     band = signed.select("id", F.posexplode("bands").alias("j", "band")).select("id", "j", F.xxhash64("j", "band").alias("key"))
@@ -50,7 +50,10 @@ def linked(signed: DataFrame, confirmed: Callable[[DataFrame], DataFrame], few:
         if not pairs.limit(1).count():
             return False
         tested = tested.unionByName(pairs)
-        links = links.unionByName(stash(confirmed(pairs)))
+        new = stash(confirmed(pairs))
+        if not new.limit(1).count():
+            return False
+        links = links.unionByName(new)
         of = stash(components(links))
         return True
 
@@ -62,6 +65,8 @@ def linked(signed: DataFrame, confirmed: Callable[[DataFrame], DataFrame], few:
         if found(left.join(other, "key").filter("c != pc").select("p", "id")):
             left = apart(left.select("key", "j", "id"))
     for split in range(splits + 1):
+        if not left.limit(1).count():
+            return of
         each = left.filter(F.col("size") <= few).select("key", "id", "c")
         other = each.select("key", F.col("id").alias("p"), F.col("c").alias("pc"))
         found(each.join(other, "key").filter("c != pc and p < id").select("p", "id"))
