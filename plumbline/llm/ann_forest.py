@@ -57,6 +57,7 @@ def _route(counts: dict[int, np.ndarray], depth: dict[int, int], salts: dict[tup
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
+            told = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["tree", "dim", "leaf", "salt", "q", "id", "v"])
             for id, dim, v, code in zip(*(b.column(c).to_pylist() for c in ("id", "dim", "v", "codes")), strict=True):
                 if dim not in tall:
                     continue
@@ -71,7 +72,10 @@ def _route(counts: dict[int, np.ndarray], depth: dict[int, int], salts: dict[tup
                 for t in tree:
                     for x in range(low[t], high[t]):
                         rows += [(int(t), dim, int(x), s, 1, id, v) for s in range(salts.get((dim, int(t), int(x)), 1)) if counts[dim][t, x]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["tree", "dim", "leaf", "salt", "q", "id", "v"])
+                    if len(rows) > 5000:  # copies of a query's vector go out in pieces
+                        yield told(rows)
+                        rows = []
+            yield told(rows)
 
     return run
 

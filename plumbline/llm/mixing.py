@@ -10,7 +10,7 @@ Prefix sums are distributed: a source's documents fall into bands of size and
 salted buckets; only the buckets' counts are summed over the whole source.
 
 Defined results: null and wordless texts have size 0 and are taken 0 words;
-a null source is a source of its own, the last; repeated rows and rows without
+ties of size and doc_id fall by a hash of the text, so reruns agree; very long texts are counted without being split; a null source is a source of its own, the last; repeated rows and rows without
 doc_id are sampled like any other; an empty table gives an empty result.
 """
 
@@ -58,7 +58,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
     ``keep``: further columns to carry through.
     """
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *keep)
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), *keep)
     band = sum((F.when(F.col("size") >= b, 1).otherwise(0) for b in BANDS), F.lit(0))
     salt = (F.coalesce("doc_id", F.lit(0)) % 1048576 * 40503 + F.coalesce("doc_id", F.lit(0)) % 1021) % 65536
     rows = stash(sized.withColumn("band", band).withColumn("bucket", F.pmod(salt, F.lit(BUCKETS)).cast("int")))
@@ -69,8 +69,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     goal = goal.withColumnRenamed("source", "g")
     plan = offsets.join(goal, F.col("source").eqNullSafe(F.col("g"))).select(F.col("source").alias("of"), F.col("band").alias("b1"), F.col("bucket").alias("b2"), "o", "source_size", "target")
     same = F.col("source").eqNullSafe(F.col("of")) & (F.col("band") == F.col("b1")) & (F.col("bucket") == F.col("b2"))
-    place = F.col("o") + F.row_number().over(W.partitionBy("source", "band", "bucket").orderBy("size", F.col("doc_id").asc_nulls_last()))
-    out = rows.join(small(plan), same).withColumn("k", place)
+    place = F.col("o") + F.row_number().over(W.partitionBy("source", "band", "bucket").orderBy("size", F.col("doc_id").asc_nulls_last(), "tie"))
+    out = rows.join(small(stash(plan)), same).withColumn("k", place)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = _source_offset(seed)
     copies = F.floor(u + rate * F.col("k")) - F.floor(u + rate * (F.col("k") - 1))

@@ -14,7 +14,8 @@ Equal vectors of a label are one vertex with a multiplicity, so a group of copie
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite numbers, and vectors
 without label, link with nothing; rows that repeat a vec_id count once (the greatest label, then vector); rows
-without vec_id are left out; dimensions differ: no link.
+without vec_id are left out; dimensions differ: no link; labels may be of any type; of equal vectors the smallest vec_id stands; an empty table gives an
+empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, small, stash
 from .vectors import BITS, batch, codes, element, matrix, packed, per_group, unit
@@ -147,10 +149,16 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy(F.col("s").desc(), "v"))).filter(F.col("r") <= k).drop("r")
 
 
+def _label(vectors: DataFrame, label: str) -> Column:
+    """Whole numbers as they are; labels of other types by the 64-bit hash of what they read as."""
+    whole = isinstance(vectors.schema[label].dataType, T.ByteType | T.ShortType | T.IntegerType | T.LongType)
+    return F.col(label).cast("long") if whole else F.when(F.col(label).isNotNull(), F.xxhash64(F.col(label).cast("string")))
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.93, id: str = "vec_id", vector: str = "embedding", label: str = "label", neighbours: int = NEIGHBOURS, trees: int = TREES, descents: int = 2, rounds: int = 3) -> DataFrame:
     """vec_id, n_links, component_id, kept for every vector; ``rounds``: most rounds that the audit may ask for."""
     kind = element(vectors, vector)
-    every = vectors.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).alias("e"))
+    every = vectors.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), _label(vectors, label).alias("label"), F.col(vector).alias("e"))
     clean = stash(packed(every.filter("label is not null"), "id", "e", "label"))
     one = clean.groupBy("id").agg(F.max(F.struct("label", "v", "dim")).alias("x")).select("id", "x.*")
     group = one.groupBy("label", "dim", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))

@@ -4,13 +4,16 @@ Records hash into a fixed number of virtual slots (thousands, whatever the numbe
 shards); bytes are summed per slot; a versioned map says which shard holds
 each slot.  Rebalancing edits the map: slots move, records are never rehashed.
 
-Equal texts share a slot unless their group alone weighs more than an eighth of
-a shard's even share; such a group is spread over slots by doc_id, so that a group
-of copies may hold any part of all rows and shards stay even.
+Equal texts share a slot unless their group alone outweighs a shard's even share and so fits none;
+such a group is spread over slots by doc_id, so that a group of copies may hold any part of all rows and shards stay even.
+
+A stored map is the state: ``shard(..., maps=folder)`` begins with the latest version there, edits it where weights have changed,
+and writes the next one beside it; without any, version 1 deals the slots in turn.
 
 Defined results: a null text has 0 bytes and no checksum and forms a group of its own; rows
-without doc_id hash as 0; repeated rows are rows of their own; with fewer
-rows than shards, shards stay empty.
+without doc_id of a group that is spread fall by chance; repeated rows are rows of their own; ties of places within a slot fall to any of the
+equal rows; very long texts are hashed whole; with fewer rows than shards, shards stay empty; an empty table gives an empty result; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -83,6 +86,19 @@ def save_map(spark: SparkSession, path: str, version: int, shard_of: list[int])
     spark.range(len(shard_of), numPartitions=1).select(F.lit(version).alias("version"), F.col("id").alias("virtual_slot"), lookup(shard_of, F.col("id")).alias("shard")).write.mode("error").parquet(f"{path}/version={version}")
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of the map that are stored, oldest first."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
+
+
+def load_map(spark: SparkSession, path: str, version: int) -> list[int]:
+    rows = spark.read.parquet(f"{path}/version={version}").select("virtual_slot", "shard").collect()  # one row a slot
+    return [s for _, s in sorted((r["virtual_slot"], r["shard"]) for r in rows)]
+
+
 def lookup(shard_of: list[int], slot: Column) -> Column:
     return F.element_at(F.lit(shard_of), (slot + 1).cast("int"))
 
@@ -96,21 +112,28 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, maps: str |
     rows = stash(rows)
     groups = rows.groupBy("g", "g2").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    # fewer than 8 x shards groups can be that heavy
-    heavy = groups.filter((F.col("bytes") * shards * 8 > total) & (F.col("n") > 1)).select("g", "g2", F.lit(True).alias("heavy"))
+    # fewer than ``shards`` groups can be that heavy
+    heavy = groups.filter((F.col("bytes") * shards > total) & (F.col("n") > 1)).select("g", "g2", F.lit(True).alias("heavy"))
     salted = rows.join(F.broadcast(heavy), ["g", "g2"], "left")
-    key = F.when(F.col("heavy"), F.xxhash64(F.lit(3), "g", F.coalesce("doc_id", F.lit(0).cast("long")))).otherwise(F.col("g"))
+    key = F.when(F.col("heavy"), F.xxhash64(F.lit(3), "g", F.coalesce(F.col("doc_id").cast("double"), F.rand(5)))).otherwise(F.col("g"))
     placed = stash(salted.select("doc_id", "size", "text_crc32", "g", F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot")))
     weight = {r["virtual_slot"]: (r["bytes"], r["n"]) for r in placed.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}  # at most ``slots`` rows
-    one = first_map(slots, shards)
-    two = rebalanced(one, {k: b for k, (b, _) in weight.items()}, shards)
     folder = maps or scratch(spark)
-    save_map(spark, folder, 1, one)
-    save_map(spark, folder, 2, two)
+    stored = versions(spark, folder)
+    if not stored:
+        save_map(spark, folder, 1, first_map(slots, shards))
+    version = stored[-1] if stored else 1
+    one = load_map(spark, folder, version)
+    if len(one) != slots:
+        raise ValueError(f"the stored map has {len(one)} slots, not {slots}")
+    two = rebalanced(one, {k: b for k, (b, _) in weight.items()}, shards)
+    if two != one:
+        version += 1
+        save_map(spark, folder, version, two)
     begin, seen = [0] * slots, [0] * shards
     for i in range(slots):
         begin[i] = seen[two[i]]
         seen[two[i]] += weight.get(i, (0, 0))[1]
     place = F.row_number().over(W.partitionBy("virtual_slot").orderBy(F.col("doc_id").asc_nulls_last(), "g", "size")).cast("long") - 1
     slot = F.element_at(F.lit(begin).cast("array<bigint>"), F.col("virtual_slot") + 1) + place
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), lookup(two, F.col("virtual_slot")).cast("int").alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(2).alias("map_version"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), lookup(two, F.col("virtual_slot")).cast("int").alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(version).alias("map_version"))

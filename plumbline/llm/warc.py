@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, scratch, small, utf8
+from .common import chunks, scratch, small, stash, utf8
 
 RECORD = "path string, record_id string, record_type string, concurrent_to string, target_uri string, payload_bytes long, payload_digest string, block_digest string, refers_to string, fields map<string,string>"
 _ARROW = pa.schema([*((c, pa.string()) for c in ("path", "record_id", "record_type", "concurrent_to", "target_uri")), ("payload_bytes", pa.int64()), *((c, pa.string()) for c in ("payload_digest", "block_digest", "refers_to")), ("fields", pa.map_(pa.string(), pa.string()))])
@@ -95,7 +95,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0) -> list[str]:
     digest = F.sha1(F.col("html").cast("binary"))
     seen = rows.filter(F.octet_length("html") >= least).select(digest.alias("d"), "page_id").groupBy("d").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     repeated = seen.filter("n > 1").select("d", "first")
-    marked = rows.withColumn("d", F.when(F.octet_length("html") >= least, digest)).join(small(repeated), "d", "left")
+    marked = rows.withColumn("d", F.when(F.octet_length("html") >= least, digest)).join(small(stash(repeated)), "d", "left")
     return [r["path"] for r in marked.select("page_id", "url", "html", "first").mapInArrow(_write(folder), "path string, captures long").collect()]
 
 

@@ -209,6 +209,26 @@ def test_sharding_balances_and_keeps_copies_together(spark):
     assert all(zlib.crc32(t.encode()) == c for t, c in zip(p.text, p.text_crc32, strict=True))
 
 
+def test_a_stored_map_is_held_to_and_edited(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, " ".join(words(rng, rng.randrange(1, 60)))) for i in range(1200)]
+    df, folder = spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "maps")
+    one = {r["doc_id"]: (r["shard"], r["map_version"]) for r in sharding.shard(df, 10, 512, folder).collect()}
+    again = {r["doc_id"]: (r["shard"], r["map_version"]) for r in sharding.shard(df, 10, 512, folder).collect()}
+    assert one == again and sharding.versions(spark, folder)[:2] == [1, 2]
+    first = sharding.versions(spark, folder)[-1]
+    grown = {r["doc_id"]: r["shard"] for r in sharding.shard(df, 11, 512, folder).collect()}
+    assert sharding.versions(spark, folder)[-1] == first + 1 and set(grown.values()) == set(range(11))
+    assert sum(grown[d] != one[d][0] for d in grown) < 0.2 * len(rows) and sharding.load_map(spark, folder, 1) == sharding.first_map(512, 10)
+
+
+def test_heavy_groups_without_ids_are_spread(spark):
+    rows = [(None, "heavy copy " * 30)] * 800 + [(i, f"text {i}") for i in range(400)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 10, 512).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    assert len(got) == 1200 and sums.max() < 1.1 * sums.mean()
+
+
 def test_sharding_at_the_edges(edge, none):
     got = sharding.shard(edge).collect()
     assert len(got) == 15 and all(r["law"] == "bytes" and 0 <= r["shard"] < 40 for r in got)

@@ -130,3 +130,9 @@ def test_recall_of_the_forest(spark):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     want = brute_nearest(data, 20)
     assert np.mean([len(got[k] & {x for x, _ in v}) / 20 for k, v in want.items()]) >= 0.95
+
+
+def test_labels_of_any_type(spark):
+    rows = [(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.01]), (3, "b", [1.0, 0.0]), (4, None, [1.0, 0.0])]
+    got = near_dup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()
+    assert {r["vec_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3, 4: 4}
