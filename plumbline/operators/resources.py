@@ -93,8 +93,8 @@ def warmup(buckets: DataFrame, by: Sequence[str], order: str, drop: float = 15.0
     """State of each hit-rate trajectory, with baseline (running best before the drop), drop and recovery slope.
 
     Buckets without traffic don't count.  Fewer than ``least``: insufficient_data; a rate below ``collapse`` at any time: collapsed; no rate more than
-    ``drop`` points under the running best: stable; else the mean change over ``grace`` buckets after the lowest
-    such rate says whether it's warming (above ``flat``) or flatlined.
+    ``drop`` points under the running best: stable; else the mean change over ``grace`` buckets from the first bucket of the fall
+    that holds the lowest such rate says whether it's warming (above ``flat``) or flatlined.
     """
     w = W.partitionBy(*by).orderBy(order)
     b = buckets.filter(F.col("hits") + F.col("misses") > 0).withColumn("rate", F.col("hits") / (F.col("hits") + F.col("misses")) * 100)
@@ -103,6 +103,8 @@ def warmup(buckets: DataFrame, by: Sequence[str], order: str, drop: float = 15.0
     later = [F.lead("rate", k).over(w) for k in range(1, grace + 1)]
     reach = sum((F.when(x.isNotNull(), 1).otherwise(0) for x in later), F.lit(0))
     b = b.withColumn("slope", F.when(reach > 0, (F.coalesce(*reversed(later)) - F.col("rate")) / reach).otherwise(0.0))
+    begins = F.col("gap").isNotNull() & F.lag("gap").over(w).isNull()
+    b = b.withColumn("slope", F.last(F.when(begins, F.col("slope")), ignorenulls=True).over(w))
     g = b.groupBy(*by).agg(F.count(F.lit(1)).alias("buckets"), F.min("rate").alias("least"), F.min_by("rate", "at").alias("start"), F.max("best").alias("top"), F.max(F.struct("gap", "slope")).alias("x"))
     fell = F.col("x.gap").isNotNull()
     state = F.when(F.col("buckets") < least, "insufficient_data").when(F.col("least") < collapse, "collapsed").when(~fell, "stable").when(F.col("x.slope") > flat, "warming").otherwise("flatlined")

@@ -70,7 +70,9 @@ def cache_evictions(t: Tables) -> DataFrame:
     "r AS (SELECT *, hits::DOUBLE / (hits + misses) * 100 AS rate, row_number() OVER w AS i FROM b WINDOW w AS (PARTITION BY event_type ORDER BY d)), "
     "s AS (SELECT *, max(rate) OVER (PARTITION BY event_type ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM r), "
     "f AS (SELECT event_type, rate AS low, best, i FROM s WHERE best - rate > 15 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY rate, i) = 1), "
-    "p AS (SELECT f.event_type, (SELECT coalesce(max_by(r.rate, r.i) - f.low, 0) / greatest(count(*), 1) FROM r WHERE r.event_type = f.event_type AND r.i > f.i AND r.i <= f.i + 3) AS slope FROM f), "
+    "n AS (SELECT *, gap AND NOT coalesce(lag(gap) OVER (PARTITION BY event_type ORDER BY i), false) AS begins FROM (SELECT *, coalesce(best - rate > 15, false) AS gap FROM s)), "
+    "o AS (SELECT f.event_type, max(n.i) AS i, max_by(n.rate, n.i) AS rate FROM f JOIN n ON n.event_type = f.event_type AND n.begins AND n.i <= f.i GROUP BY 1), "
+    "p AS (SELECT o.event_type, (SELECT coalesce(max_by(r.rate, r.i) - o.rate, 0) / greatest(count(*), 1) FROM r WHERE r.event_type = o.event_type AND r.i > o.i AND r.i <= o.i + 3) AS slope FROM o), "
     "g AS (SELECT event_type, count(*) AS buckets, min(rate) AS least FROM r GROUP BY 1), "
     "z AS (SELECT g.*, f.best - f.low AS drop_pct, p.slope AS recovery_slope, CASE WHEN buckets < 3 THEN 'insufficient_data' WHEN least < 5 THEN 'collapsed' WHEN f.low IS NULL THEN 'stable' WHEN p.slope > 0.5 THEN 'warming' ELSE 'flatlined' END AS state FROM g LEFT JOIN f USING (event_type) LEFT JOIN p USING (event_type)) "
     "SELECT event_type, buckets, state, CASE WHEN state IN ('warming', 'flatlined') THEN drop_pct END AS drop_pct, CASE WHEN state IN ('warming', 'flatlined') THEN recovery_slope END AS recovery_slope FROM z",

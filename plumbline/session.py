@@ -11,6 +11,8 @@ def local_session(app: str = "plumbline", cores: str | int = "*", partitions: in
     defaults = {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": "4m",  # small tables of one file then keep all cores busy
+        "spark.sql.files.openCostInBytes": "256k",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "6g",

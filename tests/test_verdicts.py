@@ -32,7 +32,7 @@ def test_incidents_end_at_the_first_good_step(spark):
     assert len(slo.incidents(burns, ["service"], "step").collect()) == 2 and slo.incidents(burns.filter("step < 0"), ["service"], "step").count() == 0
 
 
-@pytest.mark.parametrize(("rates", "state"), [([90, 50], "insufficient_data"), ([90, 4, 90], "collapsed"), ([90, 85, 88], "stable"), ([90, 50, 65, 78], "warming"), ([90, 50, 50, 50, 50], "flatlined"), ([90, 50, 50, 49, 50], "warming"), ([90, None, 50, 51], "warming")])
+@pytest.mark.parametrize(("rates", "state"), [([90, 50], "insufficient_data"), ([90, 4, 90], "collapsed"), ([90, 85, 88], "stable"), ([90, 50, 65, 78], "warming"), ([90, 50, 50, 49, 50], "flatlined"), ([90, 50, 60, 45, 60], "warming"), ([90, None, 50, 51], "warming")])
 def test_warmup_states(spark, rates, state):
     rows = [("c", i, r or 0, 0 if r is None else 100 - r) for i, r in enumerate(rates)]
     got = resources.warmup(spark.createDataFrame(rows, "cache string, i int, hits long, misses long"), ["cache"], "i").collect()
