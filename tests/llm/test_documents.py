@@ -400,3 +400,20 @@ def test_words_of_long_texts_go_through_in_blocks(monkeypatch):
     whole = common.word_hashes(data)
     monkeypatch.setattr(common, "BLOCK", 500)
     assert all((a == b).all() for a, b in zip(whole, common.word_hashes(data), strict=True))
+
+
+def test_links_that_share_one_band_of_a_large_bucket_are_found(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(23)
+    n = 3000
+    rows = [(i, [7, *(rng.randrange(10**9) for _ in range(15))], [i]) for i in range(n)]  # all share one band, and no two another
+    linked = {(700, 1200), (1200, 2999), (40, 41)}
+
+    def some(pairs):
+        got = {(r["p"], r["id"]) for r in pairs.collect()}
+        return spark.createDataFrame(sorted(got & linked) or [(0, 0)], "a long, b long").filter("a < b")
+
+    likely = lambda a, b: F.array(F.least(F.col(a)[0], F.col(b)[0]), F.greatest(F.col(a)[0], F.col(b)[0])).isin([F.array(F.lit(x).cast("long"), F.lit(y).cast("long")) for x, y in linked])
+    of = {r["id"]: r["component_id"] for r in linking.linked(spark.createDataFrame(rows, "id long, bands array<long>, sig array<long>"), some, likely=likely).collect()}
+    assert of == {700: 700, 1200: 700, 2999: 700, 40: 40, 41: 40}
