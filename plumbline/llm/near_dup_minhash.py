@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, mix64, shingle_hashes, small, stash, texts_words, utf8
@@ -89,17 +89,20 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     member = stash(known.join(first, ["digest", "n"]).select("id", "rep"))
     sig = stash(known.join(member.filter("id = rep").select("id"), "id", "left_semi").select("id", "h", F.array("p0", "p1", "q0", "q1").alias("s"), "bands"))
 
+    def likely(a: str, b: str) -> Column:
+        return estimate(a, b, MINIMA, 2, 2) >= percent / 100 - slack
+
     def links(pairs: DataFrame) -> DataFrame:
         a = sig.select(F.col("id").alias("p"), F.col("s").alias("sa"))
         b = sig.select("id", F.col("s").alias("sb"))
-        likely = pairs.join(a, "p").join(b, "id").filter(estimate("sa", "sb", MINIMA, 2, 2) >= percent / 100 - slack).select("p", "id")
+        close = pairs.join(a, "p").join(b, "id").filter(likely("sa", "sb")).select("p", "id")
 
         def texts(wanted: DataFrame) -> DataFrame:  # of the row that stands for an id
             return told.join(small(stash(wanted.join(sig.select("id", "h"), "id"))), ["id", "h"])
 
-        return confirm(likely, texts, lambda t: map(shingle_hashes, texts_words(t)), percent)
+        return confirm(close, texts, lambda t: map(shingle_hashes, texts_words(t)), percent)
 
-    of = linked(sig.select("id", "bands"), links)
+    of = linked(sig.select("id", "bands", F.col("s").alias("sig")), links, likely=likely)
     component = member.join(of.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("id", F.coalesce("component_id", "rep").alias("component_id"))
     out = own.select("id", "n").join(component, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     out = out.withColumn("kept", F.col("id") == F.col("component_id"))

@@ -49,3 +49,23 @@ def test_near_dedup_takes_pairs_from_80_percent(spark):
     assert 0.8 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85 and len(sets[2] & sets[3]) < 0.8 * len(sets[2] | sets[3])
     got = pipeline.near_dedup(spark, spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), "").collect()
     assert sorted(r["doc_id"] for r in got) == [1, 3, 4]
+
+
+def test_pairs_that_share_one_band_of_a_large_bucket_are_found_by_both_stages(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from plumbline.llm import line_dedup, linking, near_dup_minhash
+
+    def one_band(signed, links, **more):  # all rows share one band, and no two another
+        return linking.linked(signed.withColumn("bands", F.array(F.lit(7).cast("long"), *[F.xxhash64("id", F.lit(j)) for j in range(15)])), links, **more)
+
+    monkeypatch.setattr(line_dedup, "linked", one_band)
+    monkeypatch.setattr(near_dup_minhash, "linked", one_band)
+    rng = random.Random(29)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " more") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for stage in (pipeline.line_dedup, pipeline.near_dedup):
+        assert sorted(r["doc_id"] for r in stage(spark, docs, "").collect()) == list(range(60))
