@@ -417,3 +417,32 @@ def test_links_that_share_one_band_of_a_large_bucket_are_found(spark):
     likely = lambda a, b: F.array(F.least(F.col(a)[0], F.col(b)[0]), F.greatest(F.col(a)[0], F.col(b)[0])).isin([F.array(F.lit(x).cast("long"), F.lit(y).cast("long")) for x, y in linked])
     of = {r["id"]: r["component_id"] for r in linking.linked(spark.createDataFrame(rows, "id long, bands array<long>, sig array<long>"), some, likely=likely).collect()}
     assert of == {700: 700, 1200: 700, 2999: 700, 40: 40, 41: 40}
+
+
+def test_lines_need_no_python_on_the_executors(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    def none(*_):
+        raise AssertionError("Python on the executors")
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", none)
+    rng = random.Random(31)
+    x = " ".join(words(rng, 40))
+    rows = [(1, x + "\nshort"), (2, x + "q"), (3, "short\n" + x[:50])]
+    assert kept_lines(spark, rows) == sorted([x, "short", x[:50]])
+    report = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_lines"], r["n_kept"], r["kept_lines"]) for r in report) == [(1, 2, 2, [0, 1]), (2, 1, 0, []), (3, 2, 1, [1])]
+
+
+def test_windows_as_rows_and_as_arrays_confirm_alike(spark, monkeypatch):
+    rng = random.Random(32)
+    pairs = []
+    for i in range(60):
+        x = "".join(chr(rng.choice([97, 98, 233, 0x4E00, 0x1F600])) for _ in range(rng.randrange(10, 120)))
+        pairs.append((i, 100 + i, x, x[rng.randrange(4) :] + "z" * rng.randrange(12)))
+    df = spark.createDataFrame(pairs, "p long, id long, pl string, line string")
+    sets = {p: (full_shingles(x), full_shingles(y)) for p, _, x, y in pairs}
+    want = sorted((p, 100 + p) for p, (x, y) in sets.items() if len(x & y) >= 0.8 * len(x | y))
+    for most in (1 << 14, 0):
+        monkeypatch.setattr(line_dedup, "LONG", most)
+        assert sorted(tuple(r) for r in line_dedup.alike(df, 80).collect()) == want and 5 < len(want) < 55
