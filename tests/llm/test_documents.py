@@ -446,3 +446,37 @@ def test_windows_as_rows_and_as_arrays_confirm_alike(spark, monkeypatch):
     for most in (1 << 14, 0):
         monkeypatch.setattr(line_dedup, "LONG", most)
         assert sorted(tuple(r) for r in line_dedup.alike(df, 80).collect()) == want and 5 < len(want) < 55
+
+
+def test_line_maps_lose_no_link(spark):
+    rng = random.Random(35)
+    pairs = []
+    for i in range(120):
+        x = "".join(rng.choice("abc ü\u4f60\U0001f600"[: 4 if i % 2 else 7]) for _ in range(rng.choice([10, 11, 14, 60, 300, 900, 6000])))
+        y, at = x * 2 if i % 9 == 0 else x, rng.randrange(len(x))
+        cuts = [y[:at] + y[at + 1 :] + "z", "q" + y, y[max(1, len(y) // rng.choice([3, 6, 12])) :], "".join(c if rng.random() > 0.02 else "z" for c in y), "z" * len(y), y]
+        pairs += [(x, c) for c in cuts if len(c) >= 10]
+    pairs = [(2 * i, 2 * i + 1, *p) for i, p in enumerate(pairs)]
+    share = [len(full_shingles(x) & full_shingles(y)) / len(full_shingles(x) | full_shingles(y)) for _, _, x, y in pairs]
+    lines = spark.createDataFrame([r for p, i, x, y in pairs for r in ((p, x), (i, y))], "id long, line string")
+    left = {r["p"] for r in line_dedup.possible(spark.createDataFrame([p[:2] for p in pairs], "p long, id long"), line_dedup.maps(lines), 80).collect()}
+    alike = {p[0] for p, s in zip(pairs, share, strict=True) if s >= 0.8}
+    far = {p[0] for p, s in zip(pairs, share, strict=True) if s < 0.6 and len(p[2]) < 1000}
+    assert len(alike) > 100 and alike <= left
+    assert len(far) > 100 and len(far & left) < 0.1 * len(far)
+
+
+def test_most_lines_below_the_threshold_are_not_compared(spark, monkeypatch):
+    rng = random.Random(36)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    lines = ["".join("z" if k in at else c for k, c in enumerate(base)) for at in (set(rng.sample(range(400), 4)) for _ in range(40))]
+    seen, alike = [], line_dedup.alike
+
+    def counted(pairs, percent):
+        seen.append(pairs.count())
+        return alike(pairs, percent)
+
+    monkeypatch.setattr(line_dedup, "alike", counted)
+    of = brute_components({i: full_shingles(x) for i, x in enumerate(lines)}, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    assert kept_lines(spark, list(enumerate(lines))) == sorted(lines[i] for i in set(of.values()))
+    assert sum(seen) < 300  # of 780 pairs
