@@ -480,3 +480,16 @@ def test_most_lines_below_the_threshold_are_not_compared(spark, monkeypatch):
     of = brute_components({i: full_shingles(x) for i, x in enumerate(lines)}, lambda a, b: len(a & b) >= 0.8 * len(a | b))
     assert kept_lines(spark, list(enumerate(lines))) == sorted(lines[i] for i in set(of.values()))
     assert sum(seen) < 300  # of 780 pairs
+
+
+def test_windows_are_hashed_by_place(spark):
+    """As an array and as rows, with characters of any width; a line shorter than a window is one shingle, and no row."""
+    from pyspark.sql import functions as F
+
+    lines = ["short", "0123456789", "é你😀 wide one " * 3, "\U0001f600" * 21, "plain text of some length"]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    want = [{line_dedup.line_hash(w.encode("utf-32-be") if len(w) == 10 else w.encode()) for w in full_shingles(x)} for x in lines]
+    arrays = {r["id"]: r["s"] for r in df.select("id", line_dedup._shingles(F.col("line")).alias("s")).collect()}
+    assert [set(arrays[i]) for i in range(len(lines))] == want and [len(arrays[i]) for i in range(len(lines))] == [max(1, len(x) - 9) for x in lines]
+    rows = line_dedup._windows(df, "line").collect()
+    assert [{r["h"] for r in rows if r["id"] == i} for i in range(len(lines))] == [{None}, *want[1:]]
