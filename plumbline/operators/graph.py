@@ -1,19 +1,30 @@
-"""Graph operators over (src, dst, weight) edges: iterative joins, with lineage cut by checkpoints."""
+"""Graph operators over (src, dst, weight) edges: iterative joins, with lineage cut by written tables."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage of an iteration in spark.checkpoint.dir (set a folder there on a cluster)."""
-    sc = df.sparkSession.sparkContext
+    """Write to spark.checkpoint.dir (set a folder there on a cluster) and read again: the lineage of an iteration ends here."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="plumbline-"))
-    return df.checkpoint()
+        base = sc.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+        sc.setCheckpointDir(base)
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{sc._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.option("compression", "zstd").parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString())
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -40,19 +51,32 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int | None = None, reverse:
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20) -> DataFrame:
-    """Weighted PageRank (src, dst, weight); the rank of dangling nodes is spread evenly."""
-    e = edges.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
-    out = e.groupBy("src").agg(F.sum("weight").alias("total"))
-    e = _cut(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    nodes = _cut(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct().join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left").withColumn("dangling", F.coalesce("dangling", F.lit(True))))
-    n = nodes.count()
-    rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for k in range(iterations):
-        loose = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()[0]
-        given = rank.join(e, rank["node"] == e["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = nodes.join(given, "node", "left").withColumn("rank", F.lit((1 - damping) / max(n, 1) + damping * loose / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).drop("got")
-        rank = _cut(rank)
-    return rank.select("node", "rank")
+    """Weighted PageRank (src, dst, weight); the rank of dangling nodes is spread evenly.
+
+    What a node gets evenly is one number a round, so the rank is a sum of v_j, ones sent j steps along the edges, each times a number
+    that rounds of sums over dangling nodes give.  Edges are met once a step, and not at all once no path is that long.
+    """
+    e = _cut(edges.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight")))
+    out = _cut(e.filter("src is not null").groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("total")))
+    nodes = _cut(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct())
+    n = max(nodes.count(), 1)
+    sent = out.withColumn("v", F.lit(1.0))
+    steps, loose = [nodes.withColumn("v", F.lit(1.0))], [float(nodes.count() - out.count())]
+    while len(steps) <= iterations:
+        given = sent.select("node", (F.col("v") / F.col("total")).alias("v")).join(e, F.col("node") == e["src"]).filter("dst is not null")
+        got = given.groupBy(F.col("dst").alias("node")).agg(F.coalesce(F.sum(F.col("v") * F.col("weight")), F.lit(0.0)).alias("v"))
+        met = _cut(got.join(out.withColumn("giving", F.lit(True)), "node", "left"))
+        count, dangling = met.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("giving").isNull(), F.col("v"))), F.lit(0.0))).first()
+        if not count:
+            break
+        steps.append(met.select("node", "v")), loose.append(dangling)
+        sent = met.filter("giving").select("node", "total", "v")
+    share = [1.0 / n]
+    for _ in range(iterations):
+        even = (1 - damping + damping * sum(x * d for x, d in zip(share, loose, strict=False))) / n
+        share = [even, *[damping * x for x in share]]
+    parts = [v.select("node", (F.col("v") * F.lit(x)).alias("rank")) for v, x in zip(steps, share, strict=False)]
+    return reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.sum("rank").alias("rank"))
 
 
 def closure(edges: DataFrame) -> DataFrame:

@@ -90,6 +90,33 @@ def test_graph_cycles_and_levels(spark):
     assert abs(sum(r["rank"] for r in graph.pagerank(e).collect()) - 1) < 1e-9
 
 
+def counted(monkeypatch):
+    cuts, cut = [], graph._cut
+    monkeypatch.setattr(graph, "_cut", lambda df: cuts.append(1) or cut(df))
+    return cuts
+
+
+def test_ranks_meet_edges_no_oftener_than_paths_are_long(spark, monkeypatch):
+    rows = [("n", "s", 1.0), ("n", "t", 1.0), ("s", "c", 3.0), ("t", "c", 1.0), ("t", "d", 1.0), ("t", "d", 2.0), ("e", "e", 1.0), ("f", "e", 1.0)]
+    names = sorted({x for r in rows for x in r[:2]})
+
+    def by_rounds(rows, rounds):
+        total = {a: sum(w for x, _, w in rows if x == a) for a in names}
+        rank = dict.fromkeys(names, 1 / len(names))
+        for _ in range(rounds):
+            even = 0.15 / len(names) + 0.85 * sum(rank[a] for a in names if not total[a]) / len(names)
+            rank = {a: even + 0.85 * sum(rank[x] * w / total[x] for x, y, w in rows if y == a) for a in names}
+        return rank
+
+    got = {r["node"]: r["rank"] for r in graph.pagerank(spark.createDataFrame(rows, "src string, dst string, weight double"), iterations=6).collect()}
+    assert got == pytest.approx(by_rounds(rows, 6), abs=1e-12)
+    cuts, rows = counted(monkeypatch), rows[:6]
+    names = sorted({x for r in rows for x in r[:2]})
+    got = {r["node"]: r["rank"] for r in graph.pagerank(spark.createDataFrame(rows, "src string, dst string, weight double")).collect()}
+    assert got == pytest.approx(by_rounds(rows, 20), abs=1e-12)
+    assert len(cuts) <= 6
+
+
 def test_orphans_go_to_the_tightest_span(spark):
     s = spark.createDataFrame([(1, 1, None, 0.0, 100.0), (1, 2, 1, 10.0, 50.0), (1, 3, 99, 20.0, 5.0)], "trace_id int, span_id int, parent_span_id int, start_ms double, duration_ms double")
     assert {r["span_id"]: r["parent_span_id"] for r in spans.orphans_adopted(s).collect()} == {1: None, 2: 1, 3: 2}
