@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -118,12 +119,16 @@ def shortest_path_length(edges: DataFrame, start: str) -> DataFrame:
     return reach(edges, spark.range(1).select(F.lit(start).alias("node")))
 
 
-def modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:
-    """Q of a partition (node, part) of the undirected, unweighted graph."""
+def modularity(edges: DataFrame, partition: DataFrame | Callable[[Column], Column]) -> DataFrame:
+    """Q of a partition of the undirected, unweighted graph: (node, part), or a function of the node, which needs no join."""
     e = edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).filter("u != v").distinct()
-    p = partition
-    j = e.join(p.select(F.col("node").alias("u"), F.col("part").alias("pu")), "u").join(p.select(F.col("node").alias("v"), F.col("part").alias("pv")), "v")
-    ends = j.select(F.col("pu").alias("part"), F.when(F.col("pu") == F.col("pv"), 1.0).otherwise(0.0).alias("inner")).unionByName(j.select(F.col("pv").alias("part"), F.lit(0.0).alias("inner")))
-    g = ends.groupBy("part").agg(F.sum("inner").alias("inside"), F.count(F.lit(1)).alias("degree"))
-    m = j.count() or 1
-    return g.agg(F.coalesce(F.sum(F.col("inside") / m - F.pow(F.col("degree") / (2.0 * m), F.lit(2))), F.lit(0.0)).alias("modularity"))
+    if isinstance(partition, DataFrame):
+        p = partition
+        j = e.join(p.select(F.col("node").alias("u"), F.col("part").alias("pu")), "u").join(p.select(F.col("node").alias("v"), F.col("part").alias("pv")), "v")
+    else:
+        j = e.select(partition(F.col("u")).alias("pu"), partition(F.col("v")).alias("pv"))
+    ends = F.array(*[F.struct(F.col(p).alias("part"), F.when(F.lit(p == "pu") & (F.col("pu") == F.col("pv")), F.col("n")).otherwise(0).alias("inner"), "n") for p in ("pu", "pv")])
+    g = j.groupBy("pu", "pv").agg(F.count(F.lit(1)).alias("n")).select(F.inline(ends)).groupBy("part").agg(F.sum("inner").alias("inside"), F.sum("n").alias("degree"))
+    m = F.sum("degree") / 2.0  # an edge has two ends
+    squares = F.sum(F.pow(F.col("degree").cast("double"), F.lit(2)))
+    return g.agg(F.when(m > 0, F.sum("inside") / m - squares / (4 * m * m)).otherwise(0.0).alias("modularity"))

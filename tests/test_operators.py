@@ -117,6 +117,14 @@ def test_ranks_meet_edges_no_oftener_than_paths_are_long(spark, monkeypatch):
     assert len(cuts) <= 6
 
 
+def test_modularity_of_a_function_of_the_node(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "cc"), ("cc", "dd"), ("dd", "dd")], "src string, dst string")
+    nodes = spark.createDataFrame([("a",), ("b",), ("cc",), ("dd",)], "node string").withColumn("part", F.length("node"))
+    assert graph.modularity(e, F.length).first()[0] == pytest.approx(2 / 3 - 0.5)
+    assert graph.modularity(e, nodes).first()[0] == pytest.approx(2 / 3 - 0.5)
+    assert graph.modularity(e.limit(0), nodes).first()[0] == 0.0
+
+
 def test_orphans_go_to_the_tightest_span(spark):
     s = spark.createDataFrame([(1, 1, None, 0.0, 100.0), (1, 2, 1, 10.0, 50.0), (1, 3, 99, 20.0, 5.0)], "trace_id int, span_id int, parent_span_id int, start_ms double, duration_ms double")
     assert {r["span_id"]: r["parent_span_id"] for r in spans.orphans_adopted(s).collect()} == {1: None, 2: 1, 3: 2}
