@@ -101,17 +101,24 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 
 def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, level: Kahn's order in layers; nodes on or behind a cycle are absent."""
-    e = _cut(edges.select("src", "dst").distinct().filter("src != dst"))
-    left, out, level = _cut(nodes.select("node").distinct()), None, 0
+    """node, level: Kahn's order in layers; nodes on or behind a cycle are absent.
+
+    Edges are counted once; a layer takes its own off, and the last one meets none.
+    """
+    nodes = _cut(nodes.select("node").distinct())
+    e = _cut(edges.select("src", "dst").distinct().filter("src != dst").join(nodes.withColumnRenamed("node", "src"), "src", "left_semi"))
+    behind = e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    left = _cut(nodes.join(behind, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n")))
+    out, level = [], 0
     while True:
-        blocked = e.join(left.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"))
-        free = _cut(left.join(blocked, "node", "left_anti"))
-        if not free.limit(1).count():
-            return out if out is not None else free.withColumn("level", F.lit(0))
-        part = free.withColumn("level", F.lit(level))
-        out = part if out is None else out.unionByName(part)
-        left, level = _cut(left.join(free, "node", "left_anti")), level + 1
+        free, rest = left.filter("n = 0"), left.filter("n > 0")
+        now, later = left.agg(F.count_if(F.col("n") == 0), F.count_if(F.col("n") > 0)).first()
+        if now or not out:
+            out.append(free.select("node", F.lit(level).alias("level")))
+        if not now or not later:
+            return reduce(DataFrame.unionByName, out)
+        gone = e.join(free.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("gone"))
+        left, level = _cut(rest.join(gone, "node", "left").select("node", (F.col("n") - F.coalesce("gone", F.lit(0))).alias("n"))), level + 1
 
 
 def shortest_path_length(edges: DataFrame, start: str) -> DataFrame:

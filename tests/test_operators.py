@@ -117,6 +117,14 @@ def test_ranks_meet_edges_no_oftener_than_paths_are_long(spark, monkeypatch):
     assert len(cuts) <= 6
 
 
+def test_levels_take_edges_off_once(spark, monkeypatch):
+    cuts = counted(monkeypatch)
+    e = spark.createDataFrame([("n", "s"), ("n", "t"), ("s", "c"), ("t", "c"), ("n", "c"), ("c", "c")], "src string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in "nstcz"], "node string")
+    assert {r["node"]: r["level"] for r in graph.topological_levels(e, nodes).collect()} == {"n": 0, "z": 0, "s": 1, "t": 1, "c": 2}
+    assert len(cuts) <= 5
+
+
 def test_modularity_of_a_function_of_the_node(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "cc"), ("cc", "dd"), ("dd", "dd")], "src string, dst string")
     nodes = spark.createDataFrame([("a",), ("b",), ("cc",), ("dd",)], "node string").withColumn("part", F.length("node"))
