@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -99,10 +100,18 @@ def typosquats(names: DataFrame, popular: DataFrame, most: int = 2) -> DataFrame
 LICENCES = (("Apache-2.0", r"(?i)apache.{0,20}(?:2\.0|version 2)"), ("MIT", r"(?i)\bMIT\b"), ("GPL-3.0", r"(?i)general public license.{0,20}3|\bGPL-?v?3"), ("CC-BY-NC-4.0", r"(?i)CC BY-NC 4\.0"), ("BSD-3-Clause", r"(?i)\bBSD\b"))
 
 
+#: What patterns without regard to case mean in RE2, in Java: word boundaries are of ASCII, only \n ends a line, and s and k have a third form.
+_RE2 = {r"\b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", ".": r"[^\n]", **dict.fromkeys("sS", r"[s\u017F]"), **dict.fromkeys("kK", r"[k\u212A]")}
+
+
+def _java(rx: str) -> str:
+    return re.sub(r"\\.|[.sSkK]", lambda m: _RE2.get(m[0], m[0]), rx)
+
+
 def licence(text: Column) -> Column:
     """SPDX identifier of a licence line; null where none is recognised or the text is over 100 characters."""
     out = None
-    for name, rx in LICENCES:
+    for name, rx in ((n, _java(x)) for n, x in LICENCES):
         out = F.when(text.rlike(rx), name) if out is None else out.when(text.rlike(rx), name)
     return F.when(F.length(text) <= 100, out)
 

@@ -144,6 +144,12 @@ def test_fingerprints_and_masks(spark):
     assert one(spark.range(1).select(text.masked(F.lit("abcdefgh")).alias("m"), text.masked(F.lit("abcd")).alias("s"))) == ("******gh", "****")
 
 
+def test_licences_by_the_rules_of_their_sql(spark):
+    known = {"éMIT": "MIT", "MIT\u0301": "MIT", "mit_": None, "xMIT": None, "B\u017fD": "BSD-3-Clause", "éGPL-3": "GPL-3.0", "apache\r2.0": "Apache-2.0", "apache ver\u017fion 2": "Apache-2.0", "CC BY-NC 4x0": None, "M\u0131T": None}
+    rows = spark.createDataFrame([(x,) for x in known], "s string").select("s", text.licence(F.col("s")).alias("spdx")).collect()
+    assert {r["s"]: r["spdx"] for r in rows} == known
+
+
 def test_typosquats(spark):
     names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
     got = {r["name"]: (r["popular"], r["distance"]) for r in text.typosquats(names("reqeusts", "numpy", "nunpy", "zzz"), names("requests", "numpy")).collect()}
